@@ -160,7 +160,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                 codes, lengths = Codes(row["codes"]), np.frombuffer(row["lengths"], "<i8")
                 begins = np.cumsum(lengths) - lengths
-                sums = [zlib.crc32(codes.span(a, a + n).astype("<u4").tobytes()) for a, n in zip(begins.tolist(), lengths.tolist(), strict=True)]
+                # all documents are wanted: one span of the segment
+                ids = memoryview(codes.span(0, len(codes)).astype("<u4").tobytes())
+                sums = [zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n in zip(begins.tolist(), lengths.tolist(), strict=True)]
                 empty = np.frombuffer(row["null_ids"], "u1") == 1
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=empty), pa.array(begins + row["start"]), pa.array(lengths), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
