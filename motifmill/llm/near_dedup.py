@@ -33,11 +33,13 @@ from .common import Memo, mix, pair_hash, short_batches, written
 
 PLACES = 1 << 20
 BANDS, ROWS = 60, 8
+#: Most ids that are sent to every executor: 8 MB.
+BROADCAST_IDS = 500_000
 _NONE = np.empty(0, np.int64)
 SALTS = 16
 #: Leaders that a bucket names in a round after the first, which has one.
 LEADERS = 4
-SETS = "doc_id long, n_shingles long, set_a long, set_b long, shingles binary, bands array<bigint>"
+SETS = "doc_id long, n_shingles long, set_a long, set_b long, bands array<bigint>"
 
 
 def word_hash(word: bytes) -> int:
@@ -90,7 +92,7 @@ def band_hashes(coordinates: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """Per document: its set, a 128-bit digest of the set, and its bands."""
+    """Per document: the size and a 128-bit digest of its set, and its bands; no set is kept."""
     short_batches(docs.sparkSession)
 
     def run(batches):
@@ -100,16 +102,15 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = shingle_set(text, size, memo)
                 memo.trim()
-                blob = own.tobytes()
-                a, b = digest(blob) if len(own) else (0, 0)
-                rows.append((doc_id, len(own), a, b, blob, band_hashes(signature(own)).view(np.int64) if len(own) else _NONE))
+                a, b = digest(own.tobytes()) if len(own) else (0, 0)
+                rows.append((doc_id, len(own), a, b, band_hashes(signature(own)).view(np.int64) if len(own) else _NONE))
                 if len(rows) == 128:
                     yield out(rows)
                     rows = []
             yield out(rows)
 
     def out(rows):
-        kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in SETS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SETS)
@@ -122,6 +123,27 @@ def digest(blob: bytes) -> tuple[int, int]:
     return tuple(int(v) - (1 << 64) if v >= 1 << 63 else int(v) for v in (x >> 64, x & (1 << 64) - 1))
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """doc_id and shingles of the wanted classes (doc_id, set_a), made anew from the texts."""
+    ids = wanted.select("doc_id")
+    if wanted.count() <= BROADCAST_IDS:  # else both sides are shuffled
+        ids = F.broadcast(ids)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+
+    def run(batches):
+        memo = Memo(word_hash)
+        for batch in batches:
+            sets = []
+            for text in batch.column(1).to_pylist():
+                sets.append(shingle_set(text, size, memo).tobytes())
+                memo.trim()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x)[0] for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "set_a", "shingles"])
+
+    found = chosen.mapInArrow(run, "doc_id long, set_a long, shingles binary")
+    # a repeated id may have other texts, and the same one twice
+    return found.join(wanted, ["doc_id", "set_a"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "shingles")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * common >= percent * union."""
 
@@ -168,11 +190,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id and kept of every row."""
     sets = written(sets_of(docs, size), "sets")
     # equal sets are one class, named by its smallest id
-    classes = sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class"))
-    classes = written(classes, "classes")
-    heads = sets.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").filter("n_shingles > 0")
-    heads = written(heads.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "shingles", "bands"), "heads")
-    found = components(_links(heads, percent))
+    classes = written(sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class")), "classes")
+    found = components(_links(docs, sets, classes, size, percent))
     small = found.select(F.col("node").alias("class"), "component")
     named = classes.join(small, "class", "left").select("set_a", "set_b", F.coalesce("component", "class").alias("component_id"))
     # one class may hold a third of all rows: classes are repeated, documents dealt out
@@ -183,12 +202,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
 
 
-def _links(heads: DataFrame, percent: int) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links between classes that connect all that buckets hold together."""
+    heads = classes.groupBy(F.col("class").alias("doc_id")).agg(F.min("set_a").alias("set_a"))
+    own = sets.withColumnRenamed("set_a", "a").join(heads, "doc_id").filter("a = set_a").dropDuplicates(["doc_id"])
     # keys of one class alone go at once
-    keys = heads.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    keys = own.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     by_key = W.partitionBy("key")
     members = written(keys.withColumn("first", F.min("doc_id").over(by_key)).withColumn("last", F.max("doc_id").over(by_key)).filter("first <> last").drop("first", "last"), "buckets")
+    wanted = written(heads.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "wanted")
+    full = written(full_sets(docs, wanted, size), "sets")
     tested, links, leaders_of_round = None, None, 1
     state = members.withColumn("component", F.col("doc_id"))
     while True:
@@ -205,7 +228,7 @@ def _links(heads: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        verdicts = written(linked(pairs, heads, percent), "verdicts")
+        verdicts = written(linked(pairs, full, percent), "verdicts")
         tested = verdicts.select("a", "b") if tested is None else tested.unionByName(verdicts.select("a", "b"))
         fresh = verdicts.filter("hit").select("a", "b")
         links = fresh if links is None else links.unionByName(fresh)
