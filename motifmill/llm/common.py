@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.package import ship
+
 #: Rows in one Arrow batch: texts can be very long, so batches stay short.
 BATCH_ROWS = 512
 #: Entries of one generation of a worker's word memo.
@@ -28,6 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, as texts can be long; and the package on every executor."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, BATCH_ROWS)
