@@ -38,7 +38,7 @@ BROADCAST_IDS = 500_000
 _NONE = np.empty(0, np.int64)
 SALTS = 16
 #: Leaders that a bucket names in a round after the first, which has one.
-LEADERS = 4
+LEADERS = 16
 SETS = "doc_id long, n_shingles long, set_a long, set_b long, bands array<bigint>"
 
 
@@ -191,8 +191,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sets = written(sets_of(docs, size), "sets")
     # equal sets are one class, named by its smallest id
     classes = written(sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class")), "classes")
-    found = components(_links(docs, sets, classes, size, percent))
-    small = found.select(F.col("node").alias("class"), "component")
+    small = _joined(docs, sets, classes, size, percent).select(F.col("doc_id").alias("class"), "component")
     named = classes.join(small, "class", "left").select("set_a", "set_b", F.coalesce("component", "class").alias("component_id"))
     # one class may hold a third of all rows: classes are repeated, documents dealt out
     named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -202,8 +201,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
 
 
-def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links between classes that connect all that buckets hold together."""
+def _joined(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id and component of the classes that confirmed links join to others."""
     heads = classes.groupBy(F.col("class").alias("doc_id")).agg(F.min("set_a").alias("set_a"))
     own = sets.withColumnRenamed("set_a", "a").join(heads, "doc_id").filter("a = set_a").dropDuplicates(["doc_id"])
     # keys of one class alone go at once
@@ -212,7 +211,7 @@ def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, perc
     members = written(keys.withColumn("first", F.min("doc_id").over(by_key)).withColumn("last", F.max("doc_id").over(by_key)).filter("first <> last").drop("first", "last"), "buckets")
     wanted = written(heads.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "wanted")
     full = written(full_sets(docs, wanted, size), "sets")
-    tested, links, leaders_of_round = None, None, 1
+    tested, known, leaders_of_round = None, None, 1
     state = members.withColumn("component", F.col("doc_id"))
     while True:
         # leaders come from the components with fewest members of the bucket
@@ -231,12 +230,22 @@ def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, perc
         verdicts = written(linked(pairs, full, percent), "verdicts")
         tested = verdicts.select("a", "b") if tested is None else tested.unionByName(verdicts.select("a", "b"))
         fresh = verdicts.filter("hit").select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh)
-        named = components(links).withColumnRenamed("node", "doc_id")
+        # only components that a new link touches are joined up
+        if known is not None:
+            of = known.select("doc_id", "component")
+            fresh = fresh.join(of.withColumnsRenamed({"doc_id": "a", "component": "ca"}), "a", "left").join(of.withColumnsRenamed({"doc_id": "b", "component": "cb"}), "b", "left")
+            fresh = fresh.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = components(fresh).withColumnRenamed("node", "doc_id")
+        if known is None:
+            known = joined
+        else:
+            moved = joined.select(F.col("doc_id").alias("component"), F.col("component").alias("to"))
+            both = known.join(moved, "component", "left").select("doc_id", F.coalesce("to", "component").alias("component"))
+            known = written(both.unionByName(joined.join(known, "doc_id", "left_anti")), "components")
         # leaders are done, and so are buckets whose other members are connected
-        state = turn.filter("not leads").drop("leads", "component").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        state = turn.filter("not leads").drop("leads", "component").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         state = state.withColumn("low", F.min("component").over(by_key)).withColumn("high", F.max("component").over(by_key)).filter("low <> high").drop("low", "high")
         state = written(state, "open")
         if state.isEmpty():
-            return links
+            return known
         leaders_of_round = LEADERS
