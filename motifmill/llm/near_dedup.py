@@ -6,11 +6,12 @@ So a shingle's values for all coordinates stand side by side in one table.  Band
 give buckets; pairs from buckets are confirmed by the exact Jaccard similarity of full sets.
 
 Documents with equal sets are one class from the start.  Candidate pairs are never all pairs of a
-bucket: in every round a bucket names a few leaders, which are compared with the members that
-are not connected with them yet, and components are joined up after each round.  A leader that was
-compared is done.  A bucket is done when its remaining members are connected, so every pair of a
-bucket ends up compared or connected, without a cap; large groups of copies end in the first
-rounds.
+bucket: its class of smallest id is compared with the others, which joins up groups of copies.  In
+buckets that hold unconnected classes then, such as those that share one long passage, the pairs
+still to compare are found exactly by shared shingles of prefixes, rarest first.  Every such shingle
+names a few leaders a round, which are compared with what is not connected with them yet, and
+components are joined up after each round.  So every linked pair of a bucket ends up compared or
+connected, without a cap.
 
 Sets hold 64-bit hashes of shingles.  With the default bands a pair at similarity 0.8 shares no bucket
 with a chance of about 1e-5, and less above it.
@@ -37,7 +38,7 @@ BANDS, ROWS = 60, 8
 BROADCAST_IDS = 500_000
 _NONE = np.empty(0, np.int64)
 SALTS = 16
-#: Leaders that a bucket names in a round after the first, which has one.
+#: Leaders that a shared shingle names in the first round; twice as many in each one after.
 LEADERS = 16
 SETS = "doc_id long, n_shingles long, set_a long, set_b long, bands array<bigint>"
 
@@ -201,6 +202,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
 
 
+def prefix_rows(full: DataFrame, open_ids: DataFrame, percent: int) -> DataFrame:
+    """key, doc_id, n_shingles, place and leads: the shingles by which the open classes can meet.
+
+    Shingles of a class are placed rarest first, ties by hash.  The first common shingle of a linked pair has
+    the whole intersection from its place on, in both sets.  So of a set only the places before which enough
+    is left matter; fewer of them when it is the smaller of the pair, which leads.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for doc_id, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(blob.as_buffer(), np.int64)
+                for i in range(0, len(own), 1 << 16):
+                    part = own[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), doc_id)), pa.array(np.full(len(part), len(own)))], names=["key", "doc_id", "n_shingles"])
+
+    rows = full.join(open_ids, "doc_id", "left_semi").select("doc_id", "shingles").mapInArrow(run, "key long, doc_id long, n_shingles long")
+    # shingles of one class alone come first and meet nothing
+    shared = rows.join(rows.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1"), "key")
+    own = W.partitionBy("doc_id")
+    place = F.col("n_shingles") - F.count("*").over(own) + F.row_number().over(own.orderBy("classes", "key")) - 1
+    rest = F.col("n_shingles") - F.col("place")
+    kept = shared.withColumn("place", place).filter(100 * rest >= percent * F.col("n_shingles"))
+    return kept.select("key", "doc_id", "n_shingles", "place", ((100 + percent) * rest >= 2 * percent * F.col("n_shingles")).alias("leads"))
+
+
+def _joined_up(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """doc_id and component after new links (a, b); only components that they touch are joined up."""
+    if known is None:
+        return written(components(links).withColumnRenamed("node", "doc_id"), "components")
+    if links.isEmpty():
+        return known
+    links = links.join(known.withColumnsRenamed({"doc_id": "a", "component": "ca"}), "a", "left").join(known.withColumnsRenamed({"doc_id": "b", "component": "cb"}), "b", "left")
+    joined = components(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).withColumnRenamed("node", "doc_id")
+    moved = joined.select(F.col("doc_id").alias("component"), F.col("component").alias("to"))
+    both = known.join(moved, "component", "left").select("doc_id", F.coalesce("to", "component").alias("component"))
+    return written(both.unionByName(joined.join(known, "doc_id", "left_anti")), "components")
+
+
 def _joined(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id and component of the classes that confirmed links join to others."""
     heads = classes.groupBy(F.col("class").alias("doc_id")).agg(F.min("set_a").alias("set_a"))
@@ -211,41 +251,36 @@ def _joined(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, per
     members = written(keys.withColumn("first", F.min("doc_id").over(by_key)).withColumn("last", F.max("doc_id").over(by_key)).filter("first <> last").drop("first", "last"), "buckets")
     wanted = written(heads.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "wanted")
     full = written(full_sets(docs, wanted, size), "sets")
-    tested, known, leaders_of_round = None, None, 1
-    state = members.withColumn("component", F.col("doc_id"))
+    # every bucket's class of smallest id is compared with the others
+    first = members.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("x"))
+    others = members.join(first, "key").filter("doc_id <> x.doc_id")
+    near = F.lit(100) * F.least("n_shingles", "x.n_shingles") >= F.lit(percent) * F.greatest("n_shingles", "x.n_shingles")
+    verdicts = written(linked(others.filter(near).select(F.col("x.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), full, percent), "verdicts")
+    tested = verdicts.select("a", "b")
+    known = _joined_up(None, verdicts.filter("hit"))
+    # buckets whose other members are not connected yet are open
+    state = others.join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    ajar = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    open_ids = written(state.join(ajar, "key", "left_semi").select("doc_id").distinct(), "open")
+    state, leaders = written(prefix_rows(full, open_ids, percent), "prefixes"), LEADERS
     while True:
-        # leaders come from the components with fewest members of the bucket
-        mates = F.count("*").over(W.partitionBy("key", "component"))
-        turn = state.withColumn("mates", mates).withColumn("leads", F.row_number().over(by_key.orderBy("mates", "doc_id")) <= leaders_of_round)
-        turn = written(turn.drop("mates"), "round")
-        leaders = turn.filter("leads").select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"))
-        pairs = turn.join(leaders, "key").filter(
-            (F.col("component") != F.col("cx")) & (~F.col("leads") | (F.col("x") < F.col("doc_id")))
-            # sizes alone rule out more
-            & (F.lit(100) * F.least("n_shingles", "nx") >= F.lit(percent) * F.greatest("n_shingles", "nx"))
-        )
-        pairs = pairs.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        verdicts = written(linked(pairs, full, percent), "verdicts")
-        tested = verdicts.select("a", "b") if tested is None else tested.unionByName(verdicts.select("a", "b"))
-        fresh = verdicts.filter("hit").select("a", "b")
-        # only components that a new link touches are joined up
-        if known is not None:
-            of = known.select("doc_id", "component")
-            fresh = fresh.join(of.withColumnsRenamed({"doc_id": "a", "component": "ca"}), "a", "left").join(of.withColumnsRenamed({"doc_id": "b", "component": "cb"}), "b", "left")
-            fresh = fresh.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        joined = components(fresh).withColumnRenamed("node", "doc_id")
-        if known is None:
-            known = joined
-        else:
-            moved = joined.select(F.col("doc_id").alias("component"), F.col("component").alias("to"))
-            both = known.join(moved, "component", "left").select("doc_id", F.coalesce("to", "component").alias("component"))
-            known = written(both.unionByName(joined.join(known, "doc_id", "left_anti")), "components")
-        # leaders are done, and so are buckets whose other members are connected
-        state = turn.filter("not leads").drop("leads", "component").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        state = state.withColumn("low", F.min("component").over(by_key)).withColumn("high", F.max("component").over(by_key)).filter("low <> high").drop("low", "high")
-        state = written(state, "open")
+        state = state.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        state = state.withColumn("low", F.min("component").over(by_key)).withColumn("high", F.max("component").over(by_key)).withColumn("any", F.max("leads").over(by_key))
+        # leaders come from the components with fewest members of the key
+        state = state.filter("low <> high and any").withColumn("mates", F.count("*").over(W.partitionBy("key", "component")))
+        turn = F.col("leads") & (F.row_number().over(by_key.orderBy(F.desc("leads"), "mates", "doc_id")) <= leaders)
+        state = written(state.select("key", "doc_id", "n_shingles", "place", "leads", "component", turn.alias("turn")), "round")
         if state.isEmpty():
             return known
-        leaders_of_round = LEADERS
+        x = state.filter("turn").select("key", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "n_shingles", "place", "component")))
+        left = F.least(F.col("n_shingles") - F.col("place"), F.col("n_shingles_x") - F.col("place_x"))
+        pairs = state.join(x, "key").filter(
+            (F.col("component") != F.col("component_x")) & (F.struct("n_shingles_x", "doc_id_x") < F.struct("n_shingles", "doc_id"))
+            & ((100 + percent) * left >= percent * (F.col("n_shingles") + F.col("n_shingles_x")))
+        )
+        pairs = pairs.select(F.least("doc_id", "doc_id_x").alias("a"), F.greatest("doc_id", "doc_id_x").alias("b")).distinct()
+        verdicts = written(linked(pairs.join(tested, ["a", "b"], "left_anti"), full, percent), "verdicts")
+        tested = tested.unionByName(verdicts.select("a", "b"))
+        known = _joined_up(known, verdicts.filter("hit"))
+        state = state.select("key", "doc_id", "n_shingles", "place", (F.col("leads") & ~F.col("turn")).alias("leads"))
+        leaders *= 2
