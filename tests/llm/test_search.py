@@ -193,3 +193,26 @@ def test_op10_odd_rows(spark, odd, none):
     assert len(rows) == odd.count()
     check_classes(rows, [(r.doc_id, r.text) for r in odd.collect()], 2)
     assert near_dedup.near_duplicates(none, 2).count() == 0
+
+
+def test_op10_linked_pairs_meet_in_prefixes(spark):
+    """Every linked pair has a shingle where its smaller set leads and enough is left of both."""
+    rng = np.random.default_rng(12)
+    passage, sets = rng.integers(1, 1 << 60, 40), {}
+    for i in range(160):  # one common passage, families within it, and own shingles
+        family = np.random.default_rng(i % 8).integers(1, 1 << 60, 30)
+        own = rng.integers(1, 1 << 60, int(rng.integers(0, 8)))
+        sets[i] = np.unique(np.concatenate([passage[: int(rng.integers(20, 41))], family[: int(rng.integers(15, 31))], own])).astype(np.uint64)
+    full = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "doc_id long, shingles binary")
+    places = defaultdict(dict)
+    for r in near_dedup.prefix_rows(full, full.select("doc_id"), 80).collect():
+        places[r.doc_id][r.key] = (r.place, r.leads)
+    links = met = 0
+    for a in sets:
+        for b in sets:
+            na, nb = len(sets[a]), len(sets[b])
+            common = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+            if (na, a) < (nb, b) and 100 * common >= 80 * (na + nb - common):
+                links += 1
+                met += any(places[a][k][1] and 180 * min(na - places[a][k][0], nb - places[b][k][0]) >= 80 * (na + nb) for k in places[a].keys() & places[b].keys())
+    assert links > 100 and met == links
