@@ -1,7 +1,7 @@
 """Benchmark decontamination by a BM25 index with block-max pruning.
 
-Items are cut into segments of at most SEGMENT words; each segment is an entry of an inverted
-index.  Impacts are BM25 weights divided by what the segment scores against itself, so 1 is a
+Items of more than SEGMENT words are cut into segments of exactly SEGMENT words, of which the last
+two may overlap; each segment is an entry of an inverted index.  Impacts are BM25 weights divided by what the segment scores against itself, so 1 is a
 whole match and one threshold serves all segments.  A document is cut into stretches, and two
 neighbouring stretches are a passage: a stretch is as long as the longest segment, so some
 passage holds any copy whole.
@@ -93,7 +93,9 @@ def build(items: list[tuple[int, str | None]]) -> Index:
     for item, text in items:
         words = split_words(text)
         ask, answer = question_answer(text or "")
-        for at in range(0, len(words), SEGMENT):
+        # the last segment of a longer item reaches back to full length: a short tail would match by itself
+        last = max(0, len(words) - SEGMENT)
+        for at in sorted({*range(0, last, SEGMENT), last}) if words else ():
             own = words[at : at + SEGMENT]
             # an item of one segment is its question and answer; parts of longer ones stand for themselves
             whole = len(words) <= SEGMENT

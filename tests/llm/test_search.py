@@ -42,6 +42,17 @@ def test_op2_odd_rows(spark, odd, none):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(held, items).collect()} == {(7, 3), (8, 4)}
 
 
+def test_op2_tails_of_long_items_match_nothing(spark):
+    sizes = [*range(65, 70), 128, 129, 133, 200]
+    texts = {n: [f"i{n}w{i}" for i in range(n)] for n in sizes}
+    items = spark.createDataFrame([(n, " ".join(w)) for n, w in texts.items()], "item_id long, text string")
+    rows = [(n, "clean words " * 20 + " ".join(w[n // 64 * 64 :] or w[-5:]) + " and more") for n, w in texts.items()]
+    rows += [(1000 + n, f"x y {' '.join(w)} z") for n, w in texts.items()]
+    held = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(held, items).collect()} == {(1000 + n, n) for n in sizes}
+    assert {len(w) for n, words in texts.items() for w in decontaminate.build([(n, " ".join(words))]).weights} == {64}
+
+
 def test_retrieval_matches_full_scores():
     rng = np.random.default_rng(4)
     items = [(i, " ".join(f"t{w}" for w in rng.zipf(1.4, 30) % 60)) for i in range(40)]
