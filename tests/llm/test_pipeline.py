@@ -37,3 +37,16 @@ def test_odd_rows_pass_every_stage(spark, sf, odd):
         docs = stage(spark, docs, sf)
     assert packing.pack(docs, tokenizer_file("word_bpe_49k.json")).filter("piece = 0").count() == docs.count()
     assert near_dedup.near_duplicates(odd).count() == odd.count()
+
+
+def test_language_stage_learns_from_every_document(spark, sf):
+    from pyspark.sql import functions as F
+
+    from motifmill.llm.common import crc_split
+
+    # the only documents of one language are those that op3 holds out
+    docs = spark.createDataFrame([(i, "ñandú über çedilla " * 20, "aa") for i in range(200)], "doc_id long, text string, lang string").filter(crc_split() == 1)
+    others = spark.createDataFrame([(i, "plain words that another language has " * 20, "bb") for i in range(1000, 1200)], docs.schema)
+    both = docs.unionByName(others).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text"))
+    kept = corpus_pipeline.language(spark, both, sf)
+    assert docs.count() > 0 and kept.filter("lang = 'aa'").count() == docs.count()
