@@ -158,6 +158,12 @@ def mh_pairs(spark, sf):
     return best.select(*PAIR, "n_binder", "n_nonbinder", "n_strata", "example_compound", r("enrichment_mh"), r("enrichment_mh_lo95"), r("enrichment_mh_hi95"))
 
 
+@query(with_items(MH + f" SELECT frag_0, frag_1, n_binder, n_nonbinder, n_strata, example_compound, {MH_OUT} FROM mh"))
+def mh_pairs_all(spark, sf):
+    """Every scored pair; mh_pairs is its report of the best 1,500."""
+    return scored_pairs(spark, sf, test=False).select(*PAIR, "n_binder", "n_nonbinder", "n_strata", "example_compound", r("enrichment_mh"), r("enrichment_mh_lo95"), r("enrichment_mh_hi95"))
+
+
 @query(with_items(MH + """, q AS (SELECT *, least(1, min(p_value_mh * n / rank) OVER (ORDER BY p_value_mh DESC RANGE UNBOUNDED PRECEDING)) AS q_value_mh FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p_value_mh) AS rank FROM mz))
 SELECT frag_0, frag_1, round(p_value_mh, 6) AS p_value_mh, round(q_value_mh, 6) AS q_value_mh FROM q"""))
 def mh_pairs_pq(spark, sf):
@@ -179,6 +185,12 @@ def ratio_ranking(spark, sf):
     return enrich.ranked(scored_pairs(spark, sf, test=False), "ratio", PAIR).limit(500).select(*PAIR, "n_binder", r("binder_per_nonbinder"))
 
 
+@query(with_items(FLAT + ", " + POOLED_SQL.format(k="frag_0, frag_1", u="flat") + " SELECT frag_0, frag_1, n_binder, round(binder_per_nonbinder, 6) AS binder_per_nonbinder FROM pool"))
+def ratio_all(spark, sf):
+    """Every scored pair; ratio_ranking is its report of the best 500."""
+    return scored_pairs(spark, sf, test=False).select(*PAIR, "n_binder", r("binder_per_nonbinder"))
+
+
 def word_rows(spark, sf, labelled):
     rows = word_items(spark, sf).filter(F.col("labelled") == labelled)
     return rows.select("compound", "activity", "stratum", "word", "frag_id").distinct()

@@ -35,3 +35,19 @@ def test_query(spark, sf, duck, name):
         assert plain(rows) == plain(sql.fetchall())
     else:
         assert rows
+
+
+@pytest.mark.parametrize("name", ["mh_pairs", "ratio_ranking"])
+def test_a_report_has_its_whole_table(spark, name):
+    """Beyond the rows of a report, every scored pair is in the query beside it, as the SQL has it."""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
+    whole = {"mh_pairs": "mh_pairs_all", "ratio_ranking": "ratio_all"}[name]
+    rows = [tuple(r) for r in registry.QUERIES[whole](spark, sf).collect()]
+    report = [tuple(r) for r in registry.QUERIES[name](spark, sf).collect()]
+    print(name, len(report), len(rows))
+    assert len(rows) > len(report) and set(plain(report)) <= set(plain(rows))
+    df = registry.QUERIES[whole](spark, sf)
+    assert plain(rows) == plain(con.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLE_SQL[whole]})").fetchall())
