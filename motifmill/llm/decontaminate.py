@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -88,7 +88,8 @@ class Index:
         return Memo(lambda word: self.terms.get(word.strip(_EDGE), -1))
 
 
-def build(items: list[tuple[int, str | None]]) -> Index:
+def segments_of(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str], set, set]]:
+    """Item, words, question and answer shingles of every segment."""
     entries = []
     for item, text in items:
         words = split_words(text)
@@ -100,14 +101,33 @@ def build(items: list[tuple[int, str | None]]) -> Index:
             # an item of one segment is its question and answer; parts of longer ones stand for themselves
             whole = len(words) <= SEGMENT
             entries.append((item, own, shingles(ask) if whole else shingles(own[: len(own) * 2 // 3]), shingles(answer) if whole else shingles(own[len(own) * 2 // 3 :])))
+    return entries
+
+
+@dataclass
+class Totals:
+    """What scores and stretches depend on, over the items of all passes."""
+
+    n: int = 0
+    words: int = 0
+    longest: int = 1
+    seen: dict[str, int] = field(default_factory=dict)  # segments that hold a word
+
+    def add(self, entries: list) -> Totals:
+        for e in entries:
+            self.n, self.words, self.longest = self.n + 1, self.words + len(e[1]), max(self.longest, len(e[1]))
+            for w in set(e[1]):
+                self.seen[w] = self.seen.get(w, 0) + 1
+        return self
+
+
+def build(items: list[tuple[int, str | None]], totals: Totals | None = None) -> Index:
+    entries = segments_of(items)
     # like segments side by side make tight blocks
     entries.sort(key=lambda e: (len(e[1]), e[1], e[0]))
-    n, mean = len(entries), sum(len(e[1]) for e in entries) / max(len(entries), 1)
-    seen: dict[str, int] = {}
-    for e in entries:
-        for w in set(e[1]):
-            seen[w] = seen.get(w, 0) + 1
-    terms = {w: i for i, w in enumerate(sorted(seen))}
+    totals = totals or Totals().add(entries)
+    n, mean, seen = totals.n, totals.words / max(totals.n, 1), totals.seen
+    terms = {w: i for i, w in enumerate(sorted({w for e in entries for w in e[1]}))}
     postings: list[list[tuple[int, float]]] = [[] for _ in terms]
     for s, (_, words, _, _) in enumerate(entries):
         weight = {}
@@ -127,11 +147,11 @@ def build(items: list[tuple[int, str | None]]) -> Index:
         for segment, x in p:
             weights[segment][t] = x
     # frequent terms have long postings and small impacts: their sum per segment bounds them all
-    essential = np.diff(starts) < max(2, FREQUENT * n)
+    essential = np.diff(starts) < max(2, FREQUENT * len(entries))
     common = np.array([sum(x for t, x in w.items() if not essential[t]) for w in weights])
     return Index(
-        terms, [e[0] for e in entries], max([1, *(len(e[1]) for e in entries)]), starts, segments, impacts, best,
-        essential, np.array([common[i : i + BLOCK].max() for i in range(0, n, BLOCK)]), weights,
+        terms, [e[0] for e in entries], totals.longest, starts, segments, impacts, best,
+        essential, np.array([common[i : i + BLOCK].max() for i in range(0, len(entries), BLOCK)]), weights,
         [e[2] for e in entries], [e[3] for e in entries],
     )
 
@@ -214,10 +234,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("n")).first().n
     passes = max(1, math.ceil(size / MAX_WORDS))
-    found = None
-    for turn in range(passes):
+    found = totals = None
+
+    def rows(turn):
         mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == turn) if passes > 1 else items
-        index = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in mine.orderBy("item_id", "text").collect()]))
+        return [(r.item_id, r.text) for r in mine.orderBy("item_id", "text").collect()]
+
+    if passes > 1:  # scores do not depend on the passes
+        totals = Totals()
+        for turn in range(passes):
+            totals.add(segments_of(rows(turn)))
+    for turn in range(passes):
+        index = spark.sparkContext.broadcast(build(rows(turn), totals))
         part = _searched(docs, index, threshold, overlap)
         found = part if found is None else found.unionByName(part)
     return found
