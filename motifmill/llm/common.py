@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.package import ship
 
@@ -38,9 +41,11 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share; one of our own only where all of Spark is this one machine's process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='motifmill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,6 +65,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(docs: DataFrame, make, added: str, keep_text: bool = True) -> DataFrame:
+    """docs, its columns as they are, with new ones behind them, worked out from `text` in one pass.
+
+    So no join has to find a row again, and rows without an id or with a repeated one keep their own verdict.
+    make() gives a function from the texts of a batch to a list of arrays; the new names start with `__`.
+    """
+    names, at = [x.split()[0] for x in added.split(", ")], docs.columns.index("text")
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    columns = [docs.columns[i] for i in kept]
+    schema = T.StructType([docs.schema.fields[i] for i in kept] + T.StructType.fromDDL(added).fields)
+
+    def run(batches):
+        made = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made(batch.column(at).to_pylist())], names=[*columns, *names])
+
+    return docs.mapInArrow(run, schema)
+
+
 def crc_split(column="doc_id", parts: int = 3):
     """crc32 of an id as text, modulo parts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

@@ -6,8 +6,8 @@ always in, finds the fullest feasible combination.  The combination is taken as
 lengths that are left allow, so the number of steps does not grow with the documents; each step
 uses up one length at least.
 
-Pieces then get a number within their length (in salted buckets, so that no length is one task)
-and find their place in a table with one row per step and length.
+Pieces then get a number within their length, in as many buckets as the length has pieces for, so that no
+length is one task and no bucket grows with the table, and find their place in a table with one row per step and length.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty
 table gives an empty table; other columns are ignored.
@@ -15,6 +15,7 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -26,8 +27,9 @@ from pyspark.sql import Window as W
 from .common import short_batches, written
 from .tokens import encoder
 
-PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, bucket int"
-BUCKETS = 64
+PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
+#: Pieces of one bucket of a length, in the mean: what one task numbers.
+BUCKET_PIECES = 50_000
 
 
 def fullest(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -97,10 +99,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
                 ids = encode(text) + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    crc = zlib.crc32(part)
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, crc, (crc ^ (doc_id or 0) ^ piece) % BUCKETS))
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))],
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))],
                 names=[x.split()[0] for x in PIECES.split(", ")],
             )
 
@@ -108,16 +109,19 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
 
 
 def place(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to pieces (a written table: it is read twice)."""
-    cells = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    found = cells.collect()  # at most capacity x BUCKETS rows
-    histogram: dict[int, int] = {}
+    """Adds sequence_id and offset to pieces, a written table with a column draw: it is read several times."""
+    histogram = dict(pieces.groupBy("length").count().collect())  # at most `capacity` rows
+    many = {n: math.ceil(c / BUCKET_PIECES) for n, c in histogram.items() if c > BUCKET_PIECES}
+    buckets = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])[F.col("length")] if many else F.lit(1)
+    pieces = pieces.withColumn("bucket", F.pmod("draw", F.coalesce(buckets, F.lit(1))).cast("int"))
+    cells = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()  # at most capacity + pieces / BUCKET_PIECES rows
     first: list[tuple[int, int, int]] = []
-    for row in sorted(found, key=lambda r: (r.length, r.bucket)):
-        first.append((row.length, row.bucket, histogram.get(row.length, 0)))
-        histogram[row.length] = histogram.get(row.length, 0) + row.n
+    seen: dict[int, int] = {}
+    for row in sorted(cells, key=lambda r: (r.length, r.bucket)):
+        first.append((row.length, row.bucket, seen.get(row.length, 0)))
+        seen[row.length] = seen.get(row.length, 0) + row.n
     steps = plan(histogram, capacity)
-    # both tables are bounded by the capacity: at most capacity x BUCKETS and a few rows per step
+    # both tables are small: the cells', and a few rows per step
     offsets = spark.createDataFrame(first, "length int, bucket int, before long")
     # a range of piece numbers is found through the steps of the same length
     table = spark.createDataFrame(steps, "length int, first long, last long, first_bin long, times int, offset int")
@@ -135,5 +139,6 @@ def place(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    pieces = written(cut_pieces(docs, tokenizer_path, end_id, capacity), "pieces")
+    # stored with the pieces, as all passes must draw alike
+    pieces = written(cut_pieces(docs, tokenizer_path, end_id, capacity).withColumn("draw", F.monotonically_increasing_id()), "pieces")
     return place(docs.sparkSession, pieces, capacity)

@@ -9,8 +9,8 @@ A segment holds whole documents in ascending doc_id order, up to SEGMENT_TOKENS
 document more.  Segments are rows of a Parquet table, because Parquet is what Spark can write to
 any shared store.
 
-Defined results: a null or empty text is the end id alone; equal doc_ids are ordered by their
-text; a null doc_id comes first; an empty table gives an empty table; other columns are ignored.
+Defined results: a null or empty text is the end id alone; equal doc_ids are ordered by a hash of their
+text, so that one id's rows need not meet in one task; a null doc_id comes first; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,7 +142,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int) -> Data
         if rows:
             yield segment()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # rows of equal id and text are alike, so their order does not count
+    keys = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]
+    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return written(ordered.mapInArrow(encode, SEGMENT), "token-files")
 
 

@@ -3,10 +3,10 @@
 The cascade holds listed keys against a complete key universe, here all domain suffixes of the
 hosts of the corpus.  Level 1 encodes the listed keys; level 2 the keys that level 1 takes for
 listed and that aren't; level 3 the listed ones that level 2 holds, and so on until no key errs.
-A key of the universe is listed exactly if the first level without it is an even one.  Filters
-are array literals in the expressions, so no join is needed.  Their size is checked: beyond
-MAX_BITS the listed keys are split by hash into cascades of their own, and beyond MAX_PARTS such
-cascades (so many bits no plan should hold) a semi-join answers instead, as exactly.
+A key of the universe is listed exactly if the first level without it is an even one.  A filter
+is one binary literal in the expressions, so no join is needed.  Listed keys of the universe are dealt to parts by
+hash, each with filters of at most MAX_BITS; a level holds an array of its parts' filters.  A plan so carries about
+one byte per listed key that occurs in the corpus, whatever their number; the driver puts them together from 64-bit words.
 
 Defined results: a null url or one without `://` has an empty host and path, fits no rule and is
 allowed; empty paths fit no rule, as every rule's path starts with `/`; repeated rows are judged
@@ -16,6 +16,7 @@ each; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 LISTED = ("spam-farm.example.org", "ads-track.example.com", "adult-x.example.com", "free-bets.example.net", "casino-win.example.net", "cheap-pills.example.net")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HASHES, BITS_PER_KEY = 4, 8
-MAX_BITS, MAX_PARTS = 1 << 22, 8
+#: Bits of one filter.
+MAX_BITS = 1 << 23
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -55,26 +57,40 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def bit(key: Column, level: int, i: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(level * HASHES + i)), F.lit(bits))
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts)).cast("int")
 
 
 class Bloom:
-    """One filter as an array of 64-bit words."""
-
-    def __init__(self, keys: DataFrame, level: int, n: int):
-        self.level, self.bits = level, 64 * max(1, math.ceil(n * BITS_PER_KEY / 64))
-        place = F.explode(F.array(*[bit(F.col("key"), level, i, self.bits) for i in range(HASHES)]))
-        words = keys.select(place.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("v"))
-        found = {r.word: r.v for r in words.collect()}  # bits / 64 numbers at most
-        self.words = F.array(*[F.lit(found.get(i, 0)).cast("long") for i in range(self.bits // 64)])
+    """The filters of one level, one binary literal per part."""
+
+    def __init__(self, keys: DataFrame, level: int, parts: int):
+        self.level, self.parts = level, parts
+        part = part_of(F.col("key"), parts)
+        sizes = dict(keys.groupBy(part.alias("part")).count().collect())  # a row per part
+        bits = [64 * max(1, math.ceil(sizes.get(p, 0) * BITS_PER_KEY / 64)) for p in range(parts)]
+        self.sizes = [F.lit(b) for b in bits]
+        place = F.explode(F.array(*[self.bit(F.col("key"), i) for i in range(HASHES)]))
+        words = keys.select(part.alias("part"), place.alias("at")).groupBy("part", F.floor(F.col("at") / 64).cast("int").alias("word"))
+        words = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("v"))
+        filters = [bytearray(b // 8) for b in bits]
+        for row in words.toLocalIterator():  # bits / 64 numbers at most
+            struct.pack_into("<q", filters[row.part], 8 * row.word, row.v)
+        self.filters = [F.lit(bytes(x)) for x in filters]
+
+    def bit(self, key: Column, i: int) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(self.level * HASHES + i)), self.own(key, self.sizes))
+
+    def own(self, key: Column, values: list[Column]) -> Column:
+        """The value of the key's part."""
+        return values[0] if self.parts == 1 else F.element_at(F.array(*values), part_of(key, self.parts) + 1)
 
     def holds(self, key: Column) -> Column:
-        out = F.lit(True)
+        own, out = self.own(key, self.filters), F.lit(True)
         for i in range(HASHES):
-            at = bit(key, self.level, i, self.bits)
-            word = F.element_at(self.words, (F.floor(at / 64) + 1).cast("int"))
-            out = out & (F.call_function("shiftrightunsigned", word, F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+            at = self.bit(key, i)
+            byte = F.conv(F.hex(F.substring(own, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            out = out & (F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1)
         return out
 
 
@@ -86,8 +102,9 @@ class Cascade:
         outside = universe.filter(~F.col("listed")).select("key")
         self.levels: list[Bloom] = []
         n = inside.count()
+        parts = max(1, math.ceil(n * BITS_PER_KEY / MAX_BITS))
         while n:
-            level = Bloom(inside, len(self.levels), n)
+            level = Bloom(inside, len(self.levels), parts)
             self.levels.append(level)
             # what errs on this level is what the next one holds
             inside, outside = written(outside.filter(level.holds(F.col("key"))), "cascade"), inside
@@ -101,24 +118,6 @@ class Cascade:
         return out
 
 
-class Membership:
-    """Cascades over hash parts of the keys, so that every literal stays below MAX_BITS."""
-
-    def __init__(self, universe: DataFrame):
-        n = universe.filter("listed").count()
-        self.parts = max(1, math.ceil(n * BITS_PER_KEY / MAX_BITS))
-        self.cascades = [Cascade(universe.filter(self._part(F.col("key")) == p)) for p in range(self.parts)] if self.parts <= MAX_PARTS else None
-
-    def _part(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(self.parts))
-
-    def lists(self, key: Column) -> Column:
-        out = F.lit(False)
-        for p, cascade in enumerate(self.cascades):
-            out = F.when(self._part(key) == p, cascade.lists(key)).otherwise(out) if self.parts > 1 else cascade.lists(key)
-        return out
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url_column: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and listed of every row; `listed` has a column key of hosts."""
     host, path = host_path(F.col(url_column).cast("string"))
@@ -126,13 +125,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url_column: str = "u
     keys = urls.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key")).distinct()
     marks = listed.select(F.translate(F.col("key"), UPPER, LOWER).alias("key")).filter("key <> ''").distinct().withColumn("listed", F.lit(True))
     universe = written(keys.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
-    member = Membership(universe)
-    if member.cascades is None:  # exact all the same
-        hits = universe.filter("listed").select("key")
-        hosts = urls.select("host").distinct().withColumn("key", F.explode(suffixes(F.col("host")))).join(hits, "key", "left_semi").select("host").distinct().withColumn("listed", F.lit(True))
-        urls = urls.join(hosts, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        urls = urls.withColumn("listed", F.exists(suffixes(F.col("host")), member.lists))
+    urls = urls.withColumn("listed", F.exists(suffixes(F.col("host")), Cascade(universe).lists))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return urls.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "listed")

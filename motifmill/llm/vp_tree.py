@@ -9,6 +9,9 @@ factor 1 is the triangle inequality and exact, smaller factors leave out more.
 Equal vectors of a shard are one point with their k + 1 smallest ids, which loses nothing: ties
 go to the smaller id, and one id may be the query's own.
 
+Vectors are scaled by a power of two to components of at most 1 before any product, so that neither very large nor very
+small ones leave the range of doubles; cosines stay the same bit for bit.  Every tree is built once and kept as one row.
+
 Defined results: null, zero and other-length vectors and such with null or non-finite components take no part
 (the length is that of the vector of smallest id); repeated ids are repeated candidates; fewer candidates than k give fewer rows; an empty
 table gives an empty table; other columns are ignored.
@@ -17,6 +20,7 @@ table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import written
+
 LEAF = 256
 #: Vectors of a shard at most (in the mean), and shards at least, so that small tables use all cores.
 SHARD_VECTORS, SHARDS = 16_384, 24
@@ -98,6 +104,11 @@ def chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * cosine, 0.0))
 
 
+def scaled(vec: np.ndarray) -> np.ndarray:
+    """Rows with their largest component between 1/2 and 1."""
+    return np.ldexp(vec, -np.frexp(np.abs(vec).max(-1, keepdims=True))[1]) if len(vec) else vec
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in one fixed order of additions."""
     return (a * b).sum(-1) / (np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1)))
@@ -127,9 +138,9 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     pairs = packed.select("block", "queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     pairs = pairs.withColumn("turn", (F.col("block") / TASK_BLOCKS).cast("int"))
     turns = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // TASK_BLOCKS)))
-    trees = points.withColumn("shard", shard).select("id", "vec", "shard", turns.alias("turn"))
-    build = _build_and_search(k, factor, width)
-    found = trees.groupBy("shard", "turn").cogroup(pairs.groupBy("shard", "turn")).applyInArrow(build, "query_id long, vec_id long, score double")
+    trees = written(points.withColumn("shard", shard).select("shard", "id", "vec").groupBy("shard").applyInArrow(_build(width), "shard int, tree binary"), "trees")
+    trees = trees.select("shard", "tree", turns.alias("turn"))
+    found = trees.groupBy("shard", "turn").cogroup(pairs.groupBy("shard", "turn")).applyInArrow(_search(k, factor, width), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -139,33 +150,47 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _build_and_search(k: int, factor: float, width: int):
+def _build(width: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, vec = rows.column("id").to_numpy(), scaled(matrix(rows.column("vec"), width))
+        order = np.argsort(ids, kind="stable")
+        ids, vec = ids[order], vec[order]
+        distinct, member = np.unique(vec, axis=0, return_inverse=True)
+        by = np.argsort(member.ravel(), kind="stable")
+        starts = np.searchsorted(member.ravel()[by], np.arange(len(distinct) + 1))
+        tree = Tree(distinct / np.sqrt((distinct * distinct).sum(1))[:, None])
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps((tree, distinct, ids[by], starts))], pa.binary())})
+
+    return run
+
+
+def _search(k: int, factor: float, width: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            ids, vec = left.column("id").to_numpy(), matrix(left.column("vec"), width)
-            order = np.argsort(ids, kind="stable")
-            ids, vec = ids[order], vec[order]
-            distinct, first, member = np.unique(vec, axis=0, return_index=True, return_inverse=True)
-            by = np.argsort(member.ravel(), kind="stable")
-            starts = np.searchsorted(member.ravel()[by], np.arange(len(distinct) + 1))
-            tree = Tree(distinct / np.sqrt((distinct * distinct).sum(1))[:, None])
+            tree, distinct, ids, starts = pickle.loads(left.column("tree")[0].as_py())
             for i in range(right.num_rows):
                 block = right.column("queries")[i].values
-                asked, queries = block.field("id").to_numpy(), matrix(block.field("vec"), width)
+                asked, queries = block.field("id").to_numpy(), scaled(matrix(block.field("vec"), width))
                 # one more for the query itself, two for ties in the last bits
                 rows = tree.search(queries / np.sqrt((queries * queries).sum(1))[:, None], min(k + 3, max(len(distinct), 1)), factor)
                 who, what = np.nonzero(rows >= 0)
                 what = rows[who, what]
                 score = cosines(queries[who], distinct[what])
+                found = []
                 for j in range(k + 1):  # ids of equal vectors, ascending
                     at = starts[what] + j
                     live = at < starts[what + 1]
-                    one = ids[by[at[live]]]
-                    q, s = asked[who[live]], score[live]
-                    out["query_id"].append(q[one != q])
-                    out["vec_id"].append(one[one != q])
-                    out["score"].append(s[one != q])
+                    found.append((who[live], score[live], ids[at[live]]))
+                who, score, what = map(np.concatenate, zip(*found, strict=True))
+                other = what != asked[who]
+                who, score, what = who[other], score[other], what[other]
+                order = np.lexsort((what, -score, who))  # k of each query are enough
+                who, score, what = who[order], score[order], what[order]
+                best = np.arange(len(who)) - np.searchsorted(who, who) < k
+                out["query_id"].append(asked[who[best]])
+                out["vec_id"].append(what[best])
+                out["score"].append(score[best])
         return pa.table({c: np.concatenate(v) if v else np.empty(0, float if c == "score" else np.int64) for c, v in out.items()})
 
     return run

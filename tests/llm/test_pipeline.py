@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from motifmill.llm import near_dedup, packing
 from motifmill.llm.queries import tokenizer_file
@@ -39,9 +41,32 @@ def test_odd_rows_pass_every_stage(spark, sf, odd):
     assert near_dedup.near_duplicates(odd).count() == odd.count()
 
 
-def test_language_stage_learns_from_every_document(spark, sf):
-    from pyspark.sql import functions as F
+def test_odd_rows_are_judged_each(spark, sf, none):
+    """Rows without an id, repeated rows and ids with good and bad texts; and an empty table."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1 and toxic = 0").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").filter("lang = 'en'").select(big.columns).limit(1).collect()[0]
+    junk = "xqzj wvkq qqxz jjkw zzqx " * 20
+    odd = [(None, junk, None, "s", 1), (None, good.text, "en", "s", 1), (77_777, junk, None, "s", 1), (77_777, good.text, "en", "s", 1), (77_777, good.text, "en", "s", 1)]
+    docs = big.unionByName(spark.createDataFrame(odd, big.schema))
+    kept = corpus_pipeline.language(spark, docs, sf)
+    mine = [(r.doc_id, r.text == junk) for r in kept.filter("doc_id is null or doc_id = 77777").collect()]
+    assert sorted(mine, key=str) == sorted([(None, False), (77_777, False), (77_777, False)], key=str)
+    same = spark.createDataFrame([*odd[1:2], *odd[3:], *odd[3:]], big.schema)
+    left = corpus_pipeline.dedup(spark, same, sf).collect()
+    assert [(r.doc_id, r.text) for r in left] == [(77_777, good.text)]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none.select(big.columns), sf).count() == 0
+    assert corpus_pipeline.pack(spark, none.select(big.columns), sf).count() == 0
+
 
+def test_clashing_columns_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("rejected", F.lit("x")).withColumn("component", F.col("doc_id")).withColumn("class", F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf)
+        assert kept.columns == docs.columns and kept.filter("rejected <> 'x' or component <> doc_id").count() == 0 and kept.count() > 0
+
+
+def test_language_stage_learns_from_every_document(spark, sf):
     from motifmill.llm.common import crc_split
 
     # the only documents of one language are those that op3 holds out
