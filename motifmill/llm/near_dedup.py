@@ -157,6 +157,12 @@ def bounded(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def salted(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """A join of many rows of one key with the few of a table that was grouped by it, dealt out by another column."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(few.withColumn("__salt", salt), [key, "__salt"], how).drop("__salt")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes, and whether their sets have 100 * common >= percent * union."""
 
@@ -190,7 +196,7 @@ def components(links: DataFrame) -> DataFrame:
         # large star: larger neighbours of a node go to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted(both.filter("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
@@ -208,7 +214,8 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     same = worded.join(ids, "doc_id").filter("class <> a").select("a", F.col("class").alias("b")).distinct()
     known = _joined(docs, worded, classes, same, size, percent)
     roots = classes.select("class", "set_b", "low_id").join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = roots.join(roots.groupBy("component").agg(F.min("low_id").alias("component_id")), "component").select("class", "set_b", "component", "component_id")
+    ids = roots.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    named = salted(roots, ids, "component", "class").select("class", "set_b", "component", "component_id")
     # one class may hold a third of all rows: classes are repeated, rows dealt out
     named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = sets.select("doc_id", "row_key", "n_shingles", "class", "set_b", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
@@ -228,9 +235,10 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     rows = written(grouped(docs, size, percent).filter("component is not null"), "grouped")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     stays = rows.filter(first).groupBy("component").agg(F.min("row_key").alias("stays"))
-    gone = rows.join(stays, "component").filter(~first | (F.col("row_key") != F.col("stays"))).select(F.col("row_key").alias("__row")).distinct()
+    both = salted(rows, stays, "component", "row_key")
+    gone = both.filter(~first | (F.col("row_key") != F.col("stays"))).select(F.col("row_key").alias("__row")).distinct()
     # rows that are there several times, word for word, among those that stay
-    again = rows.join(stays, "component").filter(first & (F.col("row_key") == F.col("stays"))).groupBy(F.col("row_key").alias("__row")).count().filter("count > 1").select("__row")
+    again = both.filter(first & (F.col("row_key") == F.col("stays"))).groupBy(F.col("row_key").alias("__row")).count().filter("count > 1").select("__row")
     keyed = docs.withColumn("__row", row_key()).join(bounded(written(gone, "gone")), "__row", "left_anti")
     again = written(again, "again")
     if not again.isEmpty():
@@ -258,7 +266,9 @@ def prefix_rows(full: DataFrame, open_classes: DataFrame, percent: int) -> DataF
 
     rows = full.join(open_classes, "class", "left_semi").select("class", "shingles").mapInArrow(run, "key long, class long, n_shingles long")
     # shingles of one class alone come first and meet nothing
-    shared = rows.join(rows.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1"), "key")
+    rows = written(rows, "shingles")
+    # a written table is shuffled for the join, so that Spark can split hot keys there
+    shared = rows.join(written(rows.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1"), "shared"), "key")
     own = W.partitionBy("class")
     place = F.col("n_shingles") - F.count("*").over(own) + F.row_number().over(own.orderBy("classes", "key")) - 1
     rest = F.col("n_shingles") - F.col("place")
@@ -311,7 +321,7 @@ def _joined(docs: DataFrame, sets: DataFrame, classes: DataFrame, same: DataFram
     # buckets whose other members are not connected yet are open
     state = others.select("key", "class").join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
     ajar = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    open_classes = written(state.join(ajar, "key", "left_semi").select("class").distinct(), "open")
+    open_classes = written(salted(state, ajar, "key", "class", "left_semi").select("class").distinct(), "open")
     # leaders come from the smallest components: large ones are groups that their first class has joined up
     mates = known.join(known.groupBy("component").count(), "component").select("class", F.col("count").alias("mates"))
     state = prefix_rows(full, open_classes, percent).join(mates, "class", "left").withColumn("mates", F.coalesce("mates", F.lit(1)))
@@ -319,14 +329,14 @@ def _joined(docs: DataFrame, sets: DataFrame, classes: DataFrame, same: DataFram
     while True:
         state = state.join(known, "class", "left").withColumn("component", F.coalesce("component", "class")) if before else written(state.join(known, "class", "left").withColumn("component", F.coalesce("component", "class")), "prefixes")
         keys = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if("leads").alias("n")).filter((F.col("low") != F.col("high")) & (F.col("n") > before))
-        state = written(state.join(keys, "key", "left_semi"), "round")
+        state = written(salted(state, keys.select("key"), "key", "class", "left_semi"), "round")
         if state.isEmpty():
             return known
         rank = F.row_number().over(W.partitionBy("key").orderBy("mates", "class"))
         x = state.filter("leads").withColumn("rank", rank).filter(F.col("rank") <= leaders).filter(F.col("rank") > before)
         x = x.select("key", *(F.col(c).alias(f"{c}_x") for c in ("class", "n_shingles", "place", "component")))
         left = F.least(F.col("n_shingles") - F.col("place"), F.col("n_shingles_x") - F.col("place_x"))
-        pairs = state.join(x, "key").filter(
+        pairs = salted(state, x, "key", "class").filter(
             (F.col("component") != F.col("component_x")) & (F.struct("n_shingles_x", "class_x") < F.struct("n_shingles", "class"))
             & ((100 + percent) * left >= percent * (F.col("n_shingles") + F.col("n_shingles_x")))
         )
