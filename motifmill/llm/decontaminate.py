@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, beside, short_batches
+from .common import Memo, beside, short_batches, tidied
 
 SEGMENT = 64
 #: Segments of a block: smaller ones make tighter bounds and longer lists of maxima.
@@ -318,4 +318,4 @@ def _searched(docs: DataFrame, index, threshold: float, overlap: float) -> DataF
                 names=[x.split()[0] for x in PAIRS.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PAIRS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), PAIRS)

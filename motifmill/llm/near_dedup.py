@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Memo, mix, pair_hash, short_batches, written
+from .common import Memo, mix, pair_hash, short_batches, tidied, written
 
 PLACES = 1 << 20
 BANDS, ROWS = 60, 8
@@ -120,7 +120,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in SETS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text")).mapInArrow(run, SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SETS)
 
 
 def row_key():
@@ -149,7 +149,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([digest(x)[0] for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["class", "shingles"])
 
     # a row may be there several times
-    return chosen.select("text").mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
+    return chosen.select("text").mapInArrow(tidied(run), "class long, shingles binary").dropDuplicates(["class"])
 
 
 def bounded(keys: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_1"))
     two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_2"))
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "set_1", "set_2")
-    return both.mapInArrow(run, "a long, b long, hit boolean")
+    return both.mapInArrow(tidied(run), "a long, b long, hit boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def prefix_rows(full: DataFrame, open_classes: DataFrame, percent: int) -> DataF
                     part = own[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), name)), pa.array(np.full(len(part), len(own)))], names=["key", "class", "n_shingles"])
 
-    rows = full.join(open_classes, "class", "left_semi").select("class", "shingles").mapInArrow(run, "key long, class long, n_shingles long")
+    rows = full.join(open_classes, "class", "left_semi").select("class", "shingles").mapInArrow(tidied(run), "key long, class long, n_shingles long")
     # shingles of one class alone come first and meet nothing
     rows = written(rows, "shingles")
     # a written table is shuffled for the join, so that Spark can split hot keys there

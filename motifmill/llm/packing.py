@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import short_batches, written
+from .common import short_batches, tidied, written
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -105,7 +105,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
                 names=[x.split()[0] for x in PIECES.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(cut), PIECES)
 
 
 def place(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, short_batches
+from .common import Memo, short_batches, tidied
 
 SCHEMA = "doc_id long, n_bytes long, n_segments long, n_pieces long, longest_segment long"
 
@@ -126,4 +126,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 rows.append((len(text.encode()) if text else 0, len(parts), sum(parts), max(parts, default=0)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], names=["doc_id", "n_bytes", "n_segments", "n_pieces", "longest_segment"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(count), SCHEMA)

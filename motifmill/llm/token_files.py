@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import short_batches, written
+from .common import short_batches, tidied, written
 from .tokens import encoder
 
 SEGMENT_TOKENS = 1 << 20
@@ -146,7 +146,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int) -> Data
     # rows of equal id and text are alike, so their order does not count
     keys = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]
     ordered = ordered.repartitionByRange(*keys).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(ordered.mapInArrow(encode, SEGMENT), "token-files")
+    return written(ordered.mapInArrow(tidied(encode), SEGMENT), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=empty), pa.array(begins + row["start"]), pa.array(lengths), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     blobs = files.select("part", "seq", "doc_ids", "null_ids", "lengths", "codes")
-    return blobs.join(F.broadcast(starts) if small(files) else starts, ["part", "seq"]).select("doc_ids", "null_ids", "lengths", "codes", "start").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blobs.join(F.broadcast(starts) if small(files) else starts, ["part", "seq"]).select("doc_ids", "null_ids", "lengths", "codes", "start").mapInArrow(tidied(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def small(files: DataFrame, most: int = 1_000_000) -> bool:
