@@ -14,9 +14,9 @@ NAN, INF = float("nan"), float("inf")
 
 
 def div(n: Column, d: Column) -> Column:
-    """n / d: x/0 is signed infinity, 0/0 and NaN/x are NaN."""
+    """n / d: x/0 is signed infinity, 0/0 and NaN/x are NaN; null where either is."""
     n, d = n.cast("double"), d.cast("double")
-    return F.when(d != 0, n / d).when(F.isnan(n) | (n == 0), F.lit(NAN)).when(n > 0, F.lit(INF)).when(n < 0, F.lit(-INF))
+    return F.when(n.isNull() | d.isNull(), F.lit(None).cast("double")).when(d != 0, n / d).when(F.isnan(n) | (n == 0), F.lit(NAN)).when(n > 0, F.lit(INF)).when(n < 0, F.lit(-INF))
 
 
 def finite(x: Column) -> Column:

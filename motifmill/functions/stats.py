@@ -1,8 +1,8 @@
 """Tail probabilities, false-discovery control, rank correlation, entropy.
 
-Order statistics are computed in value buckets: approximate quantiles cut the values, windows run
-within a bucket, and a table of one row per bucket carries counts and minima across.  No window
-runs over all rows.
+Order statistics are computed on different values with their counts, so ties cost nothing, and in value
+buckets: approximate quantiles cut the values, windows run within a bucket, and a table of one row per
+bucket carries counts and minima across.  No window runs over all rows.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
+from ..sources.storage import written
+
 BUCKETS = 200
 
 
 @F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom."""
-    return pd.Series([math.erfc(math.sqrt(v / 2)) if v > 0 else 1.0 for v in x])
+    known = {v: math.erfc(math.sqrt(v / 2)) if v > 0 else 1.0 for v in x.unique()}
+    return x.map(known)
 
 
 def _log_choose(n, k):
@@ -79,39 +82,39 @@ def value_buckets(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("__b", bucket)
 
 
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """The different non-null values (__v), their rows (__c), bucket (__b), and the rows of lower buckets (__before) and all (__all)."""
+    values = written(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__c")), "values")
+    cut = value_buckets(values, "__v")
+    sizes = cut.groupBy("__b").agg(F.sum("__c").alias("__n"))  # BUCKETS rows at most
+    sizes = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__b")) - F.col("__n")).withColumn("__all", F.sum("__n").over(W.partitionBy()))
+    return cut.join(F.broadcast(sizes), "__b")
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", q: str = "q_value", tested: Column | None = None) -> DataFrame:
     """Adds false-discovery rates over the tested rows (those with a p); others get null."""
     tested = F.col(p).isNotNull() if tested is None else tested & F.col(p).isNotNull()
-    cut = value_buckets(df.withColumn("__p", F.when(tested, F.col(p))), "__p")
-    inside = cut.filter("__p is not null")
-    w = W.partitionBy("__b").orderBy("__p")
-    upto = w.rangeBetween(W.unboundedPreceding, W.currentRow)
-    onward = w.rangeBetween(W.currentRow, W.unboundedFollowing)
-    sizes = inside.groupBy("__b").agg(F.count("*").alias("__n"))  # BUCKETS rows at most, as all below
-    one = W.orderBy("__b")
-    sizes = sizes.withColumn("__before", F.sum("__n").over(one) - F.col("__n")).withColumn("__all", F.sum("__n").over(W.partitionBy()))
-    ratio = F.col("__p") * F.col("__all") / (F.col("__before") + F.count("*").over(upto))
-    ranked = inside.join(F.broadcast(sizes), "__b").withColumn("__ratio", ratio)
-    lows = ranked.groupBy("__b").agg(F.min("__ratio").alias("__low")).withColumn("__later", F.min("__low").over(one.rowsBetween(1, W.unboundedFollowing)))
-    value = F.least(F.min("__ratio").over(onward), F.coalesce("__later", F.lit(1.0)), F.lit(1.0))
-    done = ranked.join(F.broadcast(lows), "__b").withColumn(q, value)
-    rest = cut.filter("__p is null").withColumn(q, F.lit(None).cast("double"))
-    keep = [*df.columns, q]
-    return done.select(keep).unionByName(rest.select(keep))
+    rows = written(df.withColumn("__v", F.when(tested, F.col(p))), "tested")  # read twice
+    inside = W.partitionBy("__b").orderBy("__v")
+    upto = F.col("__before") + F.sum("__c").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = written(value_counts(rows, "__v").withColumn("__ratio", F.col("__v") * F.col("__all") / upto), "ratios")
+    lows = ranked.groupBy("__b").agg(F.min("__ratio").alias("__low")).withColumn("__later", F.min("__low").over(W.orderBy("__b").rowsBetween(1, W.unboundedFollowing)))
+    value = F.least(F.min("__ratio").over(inside.rowsBetween(W.currentRow, W.unboundedFollowing)), F.coalesce("__later", F.lit(1.0)), F.lit(1.0))
+    rates = written(ranked.join(F.broadcast(lows), "__b").select("__v", value.alias(q)), "rates")
+    return rows.join(rates, "__v", "left").select(*df.columns, q)
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds ranks from 1, ties at their mean."""
-    cut = value_buckets(df, column)
-    sizes = cut.groupBy("__b").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(W.orderBy("__b")) - F.col("__n"))
-    ties = F.count("*").over(W.partitionBy("__b", column))
-    rank = F.col("__before") + F.rank().over(W.partitionBy("__b").orderBy(column)) + (ties - 1) / 2
-    return cut.join(F.broadcast(sizes), "__b").withColumn(name, rank).select(*df.columns, name)
+    """Adds ranks from 1, ties at their mean; df is read twice, so it should be a written table."""
+    before = F.col("__before") + F.sum("__c").over(W.partitionBy("__b").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__c")
+    ranks = written(value_counts(df, column).select("__v", (before + (F.col("__c") + 1) / 2).alias(name)), "ranks")
+    return df.join(ranks, df[column] == ranks["__v"], "left").drop("__v")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: the rank correlation of two columns and the rows behind it."""
-    ranked = average_rank(average_rank(df, x, "__rx"), y, "__ry")
+    rows = written(df.select(x, y), "ranked")
+    ranked = average_rank(written(average_rank(rows, x, "__rx"), "ranked"), y, "__ry")
     return ranked.agg(F.corr("__rx", "__ry").alias("rho"), F.count("*").alias("n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import ids
+from ..sources.storage import numbered
 
 
 def dictionary(rows: DataFrame, labelled: bool = True) -> DataFrame:
@@ -22,12 +23,8 @@ def attachments(smiles: Column) -> Column:
 
 
 def named(fragments: DataFrame) -> DataFrame:
-    """Adds frag_name by falling n_compounds, then smiles; numbered within counts, counts added up before."""
-    sizes = fragments.groupBy("n_compounds").agg(F.count("*").alias("__n"))
-    # one row per different count, far fewer than fragments
-    sizes = sizes.withColumn("__before", F.sum("__n").over(W.orderBy(F.desc("n_compounds"))) - F.col("__n"))
-    rank = F.col("__before") + F.row_number().over(W.partitionBy("n_compounds").orderBy("frag_smiles", "frag_id")) - 1
-    return fragments.join(sizes, "n_compounds").withColumn("frag_name", ids.frag_name(rank)).drop("__n", "__before")
+    """Adds frag_name by falling n_compounds, then smiles."""
+    return numbered(fragments, [F.desc("n_compounds"), F.col("frag_smiles"), F.col("frag_id")], "frag_name").withColumn("frag_name", ids.frag_name(F.col("frag_name")))
 
 
 def targets(per_stratum: DataFrame, columns: list[str], min_binder: int) -> DataFrame:

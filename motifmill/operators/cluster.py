@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import ieee
 from ..functions.stats import spearman
+from ..sources.storage import numbered, written
 from .enrich import mantel_haenszel, stratum_terms, summed
 
 
@@ -39,14 +40,14 @@ def approximate(per_stratum: DataFrame, mapped: DataFrame, columns: list[str]) -
         F.sum("n_binder").alias("n_binder"), F.sum("n_nonbinder").alias("n_nonbinder"), F.min("example_compound").alias("example_compound"))
 
 
-def describe(scored: DataFrame, metric: str, columns: list[str], name: Column, most: int = 1000) -> DataFrame:
-    """Per cluster: key, size, its best member and that one's metric, member names best first (at most `most`)."""
+def describe(scored: DataFrame, metric: str, columns: list[str], name: Column) -> DataFrame:
+    """Per cluster: key, size, its best member and that one's metric, all member names best first."""
     better = F.struct(F.coalesce(F.when(~F.isnan(metric), -F.col(metric)), F.lit(float("inf"))).alias("m"), *columns)
-    ordered = scored.withColumn("__o", better).withColumn("__n", name).withColumn("__r", F.row_number().over(W.partitionBy("cluster_id").orderBy("__o")))
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__r") <= most, F.struct("__r", "__n")))), lambda x: x["__n"]), ";")
-    return ordered.groupBy("cluster_id").agg(
-        F.min("cluster_key").alias("cluster_key"), F.count("*").alias("n_members"), F.min_by("__n", "__o").alias("best_member"),
-        F.min_by(metric, "__o").alias("best_member_metric"), F.min_by("n_binder", "__o").alias("best_member_n_binder"), names.alias("members"))
+    listed = scored.withColumn("__o", better).withColumn("__n", name).groupBy("cluster_id").agg(
+        F.min("cluster_key").alias("cluster_key"), F.count("*").alias("n_members"),
+        F.array_sort(F.collect_list(F.struct("__o", "__n", F.col(metric).alias("x"), "n_binder"))).alias("__m"))
+    best = F.col("__m")[0]
+    return listed.select("cluster_id", "cluster_key", "n_members", best["__n"].alias("best_member"), best["x"].alias("best_member_metric"), best["n_binder"].alias("best_member_n_binder"), F.array_join(F.col("__m")["__n"], ";").alias("members"))
 
 
 def pooling_gain(clusters: DataFrame, described: DataFrame, metric: str) -> DataFrame:
@@ -57,9 +58,10 @@ def pooling_gain(clusters: DataFrame, described: DataFrame, metric: str) -> Data
 def order_by_cluster(rows: DataFrame, metric: str, tiebreak: list[str]) -> DataFrame:
     """Rows with their cluster's best metric, size and index; clusters best first, members best first within."""
     mine = W.partitionBy("cluster_id")
+    rows = written(rows, "members")  # read for the heads and for the members
     out = rows.withColumn("cluster_best", F.max(F.when(~F.isnan(metric), F.col(metric))).over(mine)).withColumn("cluster_size", F.count("*").over(mine))
-    heads = out.select("cluster_id", "cluster_best").distinct()
-    index = heads.withColumn("cluster_index", F.dense_rank().over(W.orderBy(F.col("cluster_best").desc_nulls_last(), "cluster_id")))
+    heads = rows.groupBy("cluster_id").agg(F.max(F.when(~F.isnan(metric), F.col(metric))).alias("cluster_best"))
+    index = numbered(heads, [F.col("cluster_best").desc_nulls_last(), F.col("cluster_id")], "cluster_index").withColumn("cluster_index", (F.col("cluster_index") + 1).cast("int"))
     return out.join(index.select("cluster_id", "cluster_index"), "cluster_id").orderBy("cluster_index", ieee.nan_last(metric), *tiebreak)
 
 
@@ -76,7 +78,9 @@ def half_estimates(rows: DataFrame, units: list[str], half: Column, min_binder:
     counted = split.dropDuplicates(["stratum", "half", "compound", *units]).groupBy("stratum", "half", *units).agg(both[0].alias("n_binder"), both[1].alias("n_nonbinder"), F.min("compound").alias("example_compound"))
     # the half joins the stratum, so one table holds both halves
     tag = F.concat_ws("/", "stratum", F.col("half").cast("string"))
-    terms = stratum_terms(counted.withColumn("stratum", tag), totals.withColumn("stratum", tag)).filter(F.col("n_binders").isNotNull())
+    totals = totals.withColumn("stratum", tag)
+    # strata of a half without positives say nothing
+    terms = stratum_terms(counted.withColumn("stratum", tag).join(totals.select("stratum"), "stratum", "left_semi"), totals)
     found = mantel_haenszel(summed(terms, [*units, "half"]).filter(F.col("n_binder") >= min_binder), alpha, test=False)
     return found.filter(ieee.finite(F.col("enrichment_mh")) & (F.col("enrichment_mh") > 0)).withColumn("log_enrichment", F.ln("enrichment_mh"))
 

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..sources.storage import numbered, written
 
 
-def sign_lanes(vector: Column, dims: int) -> Column:
-    """64-bit lanes of the signs of a vector's components."""
-    lanes = []
-    for first in range(0, dims, 64):
-        bits = [F.when(vector[i] > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(i - first))).otherwise(F.lit(0).cast("long")) for i in range(first, min(first + 64, dims))]
-        lane = bits[0]
-        for b in bits[1:]:
-            lane = lane.bitwiseOR(b)
-        lanes.append(lane)
-    return F.array(*lanes)
+def sign_lanes(vector: Column) -> Column:
+    """64-bit lanes of the signs of all of a vector's components."""
+    bits = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64)))).otherwise(F.lit(0).cast("long")))
+    lanes = F.sequence(F.lit(0), F.ceil(F.size(vector) / 64).cast("int") - 1)
+    return F.transform(lanes, lambda k: F.aggregate(F.slice(bits, k * 64 + 1, F.lit(64)), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)))
 
 
 def tanimoto(a: Column, b: Column) -> Column:
@@ -74,33 +74,36 @@ def mean_pairwise_distance(sample: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), F.col("i") < F.col("j")).agg(F.avg(1 - tanimoto(F.col("x"), F.col("y"))).alias("mean_distance"), F.count("*").alias("n_pairs"))
 
 
-def sphere_exclusion(points: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """id of leaders: no two as similar as the threshold, every point so similar to one.
+def sphere_exclusion(points: DataFrame, threshold: float = 0.7, block: int = 1024) -> DataFrame:
+    """id of leaders, as picked one by one in id order: no two as similar as the threshold, every point so similar to one.
 
-    Partitions choose leaders; those are then thinned in id order by one task, as the method is
-    sequential.  Only the leaders of partitions meet there.
+    Each round settles the first `block` points in id order that no leader covers yet; the leaders among them, at most
+    `block`, go to every executor and drop what they cover there.  So the result depends on neither partitions nor block.
     """
-    def thin(batches):
-        chosen, ids = None, []
-        for frame in batches:
-            frame = frame.sort_values("id", kind="stable")
-            bits = unpack(frame["lanes"])
-            keep = []
-            for i in range(len(bits)):
-                row = bits[i : i + 1]
-                if chosen is None or tanimoto_matrix(row, chosen).max() < threshold:
-                    chosen = row if chosen is None else np.concatenate([chosen, row])
-                    keep.append(i)
-            ids.append(frame.iloc[keep])
-        if ids:
-            yield pd.concat(ids)
-
-    schema = "id long, lanes array<long>"
-    local = points.select("id", "lanes").mapInPandas(thin, schema)
-    return local.coalesce(1).sortWithinPartitions("id").mapInPandas(thin, schema).select("id")
-
-
-def pca(points: DataFrame, background: Column, dims: int, k: int = 2) -> DataFrame:
+    spark, rounds = points.sparkSession, []
+    rest = written(points.select("id", "lanes"), "points")
+    while True:
+        head = rest.orderBy("id").limit(block).toPandas()
+        if head.empty:
+            break
+        bits = unpack(head["lanes"])
+        close, keep = tanimoto_matrix(bits, bits) >= threshold, []
+        for i in range(len(head)):
+            if not close[i, keep].any():
+                keep.append(i)
+        rounds.append(spark.createDataFrame([(int(head["id"][i]),) for i in keep], "id long"))
+        chosen = spark.sparkContext.broadcast(bits[keep])
+
+        def uncovered(batches, chosen=chosen):
+            for frame in batches:
+                far = tanimoto_matrix(unpack(frame["lanes"]), chosen.value).max(1) < threshold if len(frame) else []
+                yield frame[far] if len(frame) else frame
+
+        rest = written(rest.filter(F.col("id") > int(head["id"].iloc[-1])).mapInPandas(uncovered, "id long, lanes array<long>"), "points")
+    return reduce(DataFrame.unionByName, rounds) if rounds else points.select(F.col("id").cast("long").alias("id")).limit(0)
+
+
+def pca(points: DataFrame, background: Column, k: int = 2) -> DataFrame:
     """Adds pca_1 .. pca_k: standardised and fitted on the background rows, projected for all; vec is an array."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -113,9 +116,18 @@ def pca(points: DataFrame, background: Column, dims: int, k: int = 2) -> DataFra
     return out.select(*points.columns, *[F.col("__p")[i].alias(f"pca_{i + 1}") for i in range(k)])
 
 
-def landmark_mds(points: DataFrame, n_landmarks: int = 200, k: int = 2) -> DataFrame:
-    """Adds mds_1 .. mds_k: classical scaling of landmarks (smallest hash), others by triangulation."""
-    marks = points.orderBy(F.xxhash64("id"), "id").limit(n_landmarks).select("lanes").toPandas()
+def landmarks(points: DataFrame, n: int, library: str | None = None) -> DataFrame:
+    """n points of smallest id hash; with a library column as many of each library."""
+    if library is None:
+        return hash_sample(points, n, F.struct(F.md5(F.col("id").cast("string").cast("binary")), "id"))
+    libraries = points.select(library).distinct().count()
+    key = F.struct(F.md5(F.col("id").cast("string").cast("binary")), "id")
+    return points.withColumn("__r", F.row_number().over(W.partitionBy(library).orderBy(key))).filter(F.col("__r") <= n // max(libraries, 1)).drop("__r")
+
+
+def landmark_mds(points: DataFrame, n_landmarks: int = 200, k: int = 2, library: str | None = None) -> DataFrame:
+    """Adds mds_1 .. mds_k: classical scaling of landmarks, others by triangulation."""
+    marks = landmarks(points, n_landmarks, library).select("id", "lanes").orderBy("id").toPandas()  # n_landmarks rows
     bits = unpack(marks["lanes"])
     d = (1 - tanimoto_matrix(bits, bits)) ** 2
     mean = d.mean(0)
@@ -133,18 +145,25 @@ def landmark_mds(points: DataFrame, n_landmarks: int = 200, k: int = 2) -> DataF
     return points.withColumn("__m", place("lanes")).select(*points.columns, *[F.col("__m")[i].alias(f"mds_{i + 1}") for i in range(k)])
 
 
+def split(points: DataFrame, label: str, share: float = 0.7) -> DataFrame:
+    """Adds fitted: true for that share of each class, those of smallest id hash, so that both parts hold both classes alike."""
+    order = [F.col(label), F.md5(F.col("id").cast("string").cast("binary")), F.col("id")]
+    sizes = points.groupBy(label).agg(F.count("*").alias("__n")).withColumn("__first", F.sum("__n").over(W.orderBy(label)) - F.col("__n"))  # classes
+    return numbered(points, order, "__k").join(F.broadcast(sizes), label).withColumn("fitted", F.col("__k") - F.col("__first") < F.floor(F.col("__n") * share)).drop("__k", "__n", "__first")
+
+
 def domain_auc(points: DataFrame, label: str, least: int = 100) -> float:
-    """How well a logistic model tells two libraries apart on held-out rows; NaN for few rows."""
+    """How well a logistic model tells two libraries apart on held-out rows of both; NaN for few rows."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    rows = points.select(F.col(label).cast("double").alias("label"), array_to_vector("vec").alias("features"), F.pmod(F.xxhash64("id"), F.lit(10)).alias("__h"))
-    if rows.groupBy("label").count().filter(F.col("count") >= least).count() < 2:
+    if points.groupBy(label).count().filter(F.col("count") >= least).count() < 2:
         return float("nan")
-    n = rows.count()
-    model = LogisticRegression(regParam=1.0 / n, maxIter=100).fit(rows.filter("__h < 7"))
-    return BinaryClassificationEvaluator().evaluate(model.transform(rows.filter("__h >= 7")))
+    rows = written(split(points.select("id", label, "vec"), label), "split").select(F.col(label).cast("double").alias("label"), array_to_vector("vec").alias("features"), "fitted")
+    fitted = rows.filter("fitted")
+    model = LogisticRegression(regParam=1.0 / fitted.count(), maxIter=100).fit(fitted)
+    return BinaryClassificationEvaluator().evaluate(model.transform(rows.filter("not fitted")))
 
 
 def hash_sample(rows: DataFrame, n: int, key: Column) -> DataFrame:

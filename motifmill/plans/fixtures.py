@@ -81,4 +81,4 @@ def prints(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.similarity import sign_lanes
 
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") < 5, 0).otherwise(1).alias("library"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    return rows.withColumn("lanes", sign_lanes(F.col("vec"), 64))
+    return rows.withColumn("lanes", sign_lanes(F.col("vec")))

@@ -51,7 +51,10 @@ def pairs_of(spark, sf) -> DataFrame:
 
 
 def totals_of(spark, sf) -> DataFrame:
-    return enrich.stratum_totals(order_compounds(spark, sf).select("compound", "activity", "stratum"))
+    """From orders with lines and their customers alone, without any chain."""
+    orders = table(spark, sf, "orders").join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    rows = orders.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return enrich.stratum_totals(rows.select(F.col("o_orderkey").alias("compound"), F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("activity"), F.col("c_mktsegment").alias("stratum")))
 
 
 def frags_of(spark, sf) -> DataFrame:
@@ -261,10 +264,10 @@ CSCORE = CMAP + """, rc AS (SELECT stratum, cluster_id, sum(activity)::BIGINT AS
 
 @query(with_items(MH + ", " + CMAP + """, o AS (SELECT cluster_id, cluster_key, frag_0 || '|' || frag_1 AS name, n_binder, exp(centre - 1.96 * se) AS lo, frag_0, frag_1, row_number() OVER (PARTITION BY cluster_id ORDER BY round(exp(centre - 1.96 * se), 6) DESC, frag_0, frag_1) AS k FROM mh JOIN cm USING (frag_0, frag_1))
 SELECT cluster_id, min(cluster_key) AS cluster_key, count(*) AS n_members, min(CASE WHEN k = 1 THEN name END) AS best_member, round(min(CASE WHEN k = 1 THEN lo END), 6) AS best_member_metric,
-  min(CASE WHEN k = 1 THEN n_binder END) AS best_member_n_binder, string_agg(CASE WHEN k <= 20 THEN name END, ';' ORDER BY k) AS members FROM o GROUP BY cluster_id"""))
+  min(CASE WHEN k = 1 THEN n_binder END) AS best_member_n_binder, string_agg(name, ';' ORDER BY k) AS members FROM o GROUP BY cluster_id"""))
 def cluster_describe(spark, sf):
     scored = scored_pairs(spark, sf, test=False).join(mapped_pairs(spark, sf), PAIR).withColumn("enrichment_mh_lo95", F.round("enrichment_mh_lo95", 6))
-    return cluster.describe(scored, "enrichment_mh_lo95", PAIR, F.concat_ws("|", *PAIR), most=20)
+    return cluster.describe(scored, "enrichment_mh_lo95", PAIR, F.concat_ws("|", *PAIR))
 
 
 @query(with_items(CSCORE + TERMS.format(k="cluster_id", c="rc", t="totals") + f" SELECT cluster_id, n_binder, n_nonbinder, n_strata, example_compound, {MH_OUT} FROM mh"))
@@ -479,20 +482,22 @@ def mean_pairwise_distance(spark, sf):
     return similarity.mean_pairwise_distance(sample).select(r("mean_distance"), "n_pairs")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BITS}, o AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM bits), e AS (SELECT x.k, list(y.id) AS l FROM o x JOIN o y ON y.k < x.k AND {TANI} >= 0.7 GROUP BY x.k),
+n AS (SELECT o.k, o.id, l FROM o LEFT JOIN e USING (k)),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS chosen UNION ALL SELECT n.k, CASE WHEN l IS NOT NULL AND list_has_any(chosen, l) THEN chosen ELSE list_append(chosen, n.id) END FROM g JOIN n ON n.k = g.k + 1)
+SELECT unnest(chosen) AS id FROM (SELECT chosen FROM g ORDER BY k DESC LIMIT 1)""")
 def sphere_exclusion(spark, sf):
     return similarity.sphere_exclusion(prints(spark, sf))
 
 
 @query()
 def landmark_mds(spark, sf):
-    return similarity.landmark_mds(prints(spark, sf)).select("id", "mds_1", "mds_2")
+    return similarity.landmark_mds(prints(spark, sf), library="library").select("id", "mds_1", "mds_2")
 
 
 @query()
 def pca(spark, sf):
-    points = prints(spark, sf).withColumn("vec", F.slice("vec", 1, 11))
-    return similarity.pca(points, F.col("library") == 1, 11).select("id", "pca_1", "pca_2")
+    return similarity.pca(prints(spark, sf), F.col("library") == 1).select("id", "pca_1", "pca_2")
 
 
 @query()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifmill.functions import ids, ieee, stats
-from motifmill.operators import catalogue, enrich, graph, similarity
+from motifmill.operators import catalogue, enrich, graph, reports, similarity
 from motifmill.sources import library
 from motifmill.sources.package import ship
 
@@ -79,7 +79,7 @@ def test_benjamini_hochberg(spark):
 
 def test_ids(spark):
     row = spark.createDataFrame([("[16*]c1ccccc1", "abc", "C1", "C3", [3, -1, 2], [2, 3, -1])], "a string, b string, c string, d string, e array<long>, f array<long>").select(
-        ids.fragment_id("a"), ids.fragment_id("b"), ids.md5_60(F.col("b")), ids.split_half("c"), ids.split_half("d"), ids.fragset_key("e"), ids.fragset_key("f"), ids.frag_name(F.lit(1234567))).first()
+        ids.fragment_id("a"), ids.fragment_id("b"), ids.md5_60(F.col("b")), ids.split_half("c"), ids.split_half("d"), ids.multiset_key(F.col("e")), ids.multiset_key(F.col("f")), ids.frag_name(F.lit(1234567))).first()
     assert list(row[:5]) == [1420478866807496961, -2829645022057097895, 648541476951500027, 1, 0]
     assert row[5] == row[6] and row[7] == "F1234567"
 
@@ -153,11 +153,19 @@ def test_balanced_cuts_are_optimal():
         assert len(found) == best and (best == 1 or min(found.values()) >= 5)
 
 
-def test_rankings_fall_back():
-    assert enrich.rank_columns("mh_lo95", ["enrichment_factor_lo95"]) == ["enrichment_factor_lo95"]
-    assert enrich.rank_columns("mh", ["enrichment_mh"]) == ["enrichment_mh"]
+def test_rankings_fall_back(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3), (5.0, 1.0, 4)], "enrichment_factor_lo95 double, enrichment_mh double, n_binder int")
+    assert [(r.n_binder, r.rank_metric) for r in enrich.ranked(df, "mh_lo95").collect()] == [(4, "enrichment_factor_lo95"), (3, "enrichment_factor_lo95")]
+    assert enrich.ranked(df, "mh").first().rank_metric == "enrichment_mh"
     with pytest.raises(KeyError):
-        enrich.rank_columns("ratio", ["n_binder"])
+        enrich.ranked(df, "ratio")
+
+
+def test_strata_without_totals_use_all(spark):
+    totals = spark.createDataFrame([("a", 4, 6), ("b", 6, 4)], "stratum string, n_binders long, n_nonbinders long")
+    rows = spark.createDataFrame([("a", 1, 2, 1), ("c", 1, 2, 1)], "stratum string, frag_0 long, n_binder long, n_nonbinder long")
+    got = {r.stratum: r for r in enrich.stratum_terms(rows, totals).collect()}
+    assert abs(got["a"].mh_r - 2 * 5 / 10) < 1e-12 and abs(got["c"].mh_r - 2 * 9 / 20) < 1e-12
 
 
 def test_guards(spark):
@@ -181,6 +189,11 @@ def test_library_round_trip(spark, tmp_path):
     library.write_strata(data.filter("stratum = 'a'"), out)
     library.write_strata(data, out, mode="append")
     assert spark.read.parquet(out).count() == 2
+    spark.createDataFrame([("c", 9)], "stratum string, n int").write.mode("append").partitionBy("stratum").parquet(out)  # half-written: not marked
+    library.write_strata(spark.createDataFrame([("a", 7), ("c", 3), ("c", 4)], data.schema), out, mode="append")
+    assert sorted((r.stratum, r.n) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 2), ("c", 3), ("c", 4)]
+    with pytest.raises(FileNotFoundError):
+        library.read_library(spark, src, "*.csv")
     library.write_summary(spark, str(tmp_path / "s"), {"b": 1, "a": {"x": 2}})
     assert library.read_summary(spark, str(tmp_path / "s")) == {"a": {"x": 2}, "b": 1}
     assert library.write_gated(data, str(tmp_path / "g")) and not library.write_gated(data, str(tmp_path / "h"), most=1)
@@ -207,7 +220,33 @@ def test_spheres_cover(spark):
 
     lanes = {i: v[0] for i, v in rows}
     assert all(alike(lanes[a], lanes[b]) < 0.7 for a, b in choose(sorted(chosen), 2))
+    assert all(any(alike(lanes[i], lanes[c]) >= 0.7 for c in chosen) for i in lanes)  # every point is covered
+    assert {r.id for r in similarity.sphere_exclusion(df.repartition(1), 0.7, block=7).collect()} == chosen
+    # point 2 is near 1 alone, and 1 is covered by 0
+    near = spark.createDataFrame([(0, [(1 << 20) - 1]), (1, [((1 << 20) - 1) << 3]), (2, [((1 << 20) - 1) << 6])], "id long, lanes array<long>")
+    for parts in (1, 2, 3):
+        assert {r.id for r in similarity.sphere_exclusion(near.repartition(parts), 0.7).collect()} == {0, 2}
     assert 0 < len(chosen) < 100
+    empty = similarity.sphere_exclusion(df.limit(0))
+    assert empty.count() == 0
+
+
+def test_split_and_landmarks_take_from_each_class(spark):
+    points = spark.createDataFrame([(i, int(i < 30), [1 << i % 60, i]) for i in range(100)], "id long, library int, lanes array<long>")
+    n = {(r.library, r.fitted): r["count"] for r in similarity.split(points, "library").groupBy("library", "fitted").count().collect()}
+    assert n == {(0, True): 49, (0, False): 21, (1, True): 21, (1, False): 9}
+    marks = {r.library: r["count"] for r in similarity.landmarks(points, 20, "library").groupBy("library").count().collect()}
+    assert marks == {0: 10, 1: 10}
+
+
+def test_reports(spark):
+    assert [library.compact(x) for x in (None, 1234567, 0.5, 1e-9, float("inf"), 2.5e7 + 0.5)] == ["-", "1,234,567", "0.50", "1.00e-09", "inf", "2.50e+07"]
+    assert library.shard_of("2/5") == (2, 5)
+    for bad in ("5/5", "x", "1/2/3"):
+        with pytest.raises(ValueError):
+            library.shard_of(bad)
+    page = reports.html(spark.createDataFrame([("<a>", 1.5, None)], "x string, y double, z string"), "t & u")
+    assert "&lt;a&gt;" in page and "1.50" in page and "t &amp; u" in page
 
 
 def test_streamed_counts(spark, tmp_path):

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from motifmill.plans import registry
+from motifmill.plans import more, registry  # noqa: F401
 
 
 @pytest.fixture(scope="module")
