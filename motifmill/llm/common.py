@@ -5,10 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
 import sys
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.package import ship
+from ..sources.storage import shared_dir, written  # noqa: F401  for the operators
 
 #: Rows in one Arrow batch: texts can be very long, so batches stay short.
 BATCH_ROWS = 512
@@ -44,31 +42,6 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where all of Spark is this one machine's process."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='motifmill-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
-
-    The folder goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def beside(docs: DataFrame, make, added: str, keep_text: bool = True) -> DataFrame:
     """docs, its columns as they are, with new ones behind them, worked out from `text` in one pass.
 
