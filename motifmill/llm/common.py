@@ -18,7 +18,7 @@ from ..sources.storage import shared_dir, written  # noqa: F401  for the operato
 
 #: Rows in one Arrow batch: texts can be very long, so batches stay short.
 BATCH_ROWS = 512
-#: Entries of one generation of a worker's word memo.
+#: Entries of one generation of a worker's word memo, unless it says otherwise.
 MEMO_WORDS = 100_000
 #: Longest word that a memo keeps.
 MEMO_CHARS = 200
@@ -98,9 +98,9 @@ class Memo(dict):
     Used as a plain dict for speed.  Results do not depend on its size.
     """
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = MEMO_WORDS):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word):
         value = self.old.get(word)
@@ -112,6 +112,6 @@ class Memo(dict):
 
     def trim(self) -> None:
         """To be called between documents."""
-        if len(self) > MEMO_WORDS:
+        if len(self) > self.most:
             self.old = self.copy()
             self.clear()

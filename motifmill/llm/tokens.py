@@ -25,6 +25,10 @@ _LETTER, _NUMBER, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", r"\t\n\x0b\x
 LATIN_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
+#: Entries of one generation of a memo of encoded words.
+KEPT = 200_000
+
+
 class Encoder:
     """Texts to 32-bit ids, little-endian as every host of Spark's Python is."""
 
@@ -37,9 +41,10 @@ class Encoder:
         self.by_word, self.by_split = plan_of(config)
         self.added = [x["content"] for x in config.get("added_tokens") or []]
         model, stand_in = self.tokenizer.model, {b: c for c, b in byte_alphabet().items()}
-        self.words = Memo(self.whole)
-        self.splits = Memo(lambda s: array("I", [t.id for t in model.tokenize("".join([stand_in[b] for b in s.encode()]))]).tobytes())
-        self.latin = Memo(lambda word: b"".join(map(self.splits.__getitem__, LATIN_SPLIT.findall(word))))
+        self.words = Memo(self.whole, KEPT)
+        # printable ASCII stands for itself
+        byte_text = lambda s: s if s.isascii() and s.isprintable() else "".join([stand_in[b] for b in s.encode()])
+        self.splits = Memo(lambda s: array("I", [t.id for t in model.tokenize(byte_text(s))]).tobytes(), KEPT)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -48,14 +53,13 @@ class Encoder:
         if not text:
             return b""
         if self.by_split and is_latin(text) and not any(x in text for x in self.added):
-            memo, parts = self.latin, text.lower().split(" ")
+            memo, parts = self.splits, LATIN_SPLIT.findall(text.lower())
         elif self.by_word:
             memo, parts = self.words, text.split(" ")
         else:
             return self.whole(text)
         out = b"".join(map(memo.__getitem__, parts))
         memo.trim()
-        self.splits.trim()
         return out
 
 
