@@ -28,8 +28,9 @@ from .common import short_batches, tidied, written
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
-#: Pieces of one bucket of a length, in the mean: what one task numbers.
-BUCKET_PIECES = 50_000
+#: Pieces of one bucket of a length, in the mean: what one task numbers.  Lengths of fewer pieces are dealt out, too, to
+#: at most SPREAD buckets of SPREAD_PIECES, so that a hot length of a small table is not one task either.
+BUCKET_PIECES, SPREAD, SPREAD_PIECES = 50_000, 64, 100
 
 
 def fullest(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -111,10 +112,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
 def place(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to pieces, a written table with a column draw: it is read several times."""
     histogram = dict(pieces.groupBy("length").count().collect())  # at most `capacity` rows
-    many = {n: math.ceil(c / BUCKET_PIECES) for n, c in histogram.items() if c > BUCKET_PIECES}
-    buckets = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])[F.col("length")] if many else F.lit(1)
-    pieces = pieces.withColumn("bucket", F.pmod("draw", F.coalesce(buckets, F.lit(1))).cast("int"))
-    cells = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()  # at most capacity + pieces / BUCKET_PIECES rows
+    many = [(n, max(math.ceil(c / BUCKET_PIECES), min(SPREAD, math.ceil(c / SPREAD_PIECES)))) for n, c in histogram.items()]
+    pieces = pieces.join(F.broadcast(spark.createDataFrame(many, "length int, buckets int")), "length").withColumn("bucket", F.pmod("draw", F.col("buckets")).cast("int")).drop("buckets")
+    cells = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()  # at most capacity x SPREAD + pieces / BUCKET_PIECES rows
     first: list[tuple[int, int, int]] = []
     seen: dict[int, int] = {}
     for row in sorted(cells, key=lambda r: (r.length, r.bucket)):
