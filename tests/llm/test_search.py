@@ -1,10 +1,12 @@
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pytest
 
 from motifmill.llm import decontaminate, near_dedup, url_filter, vp_tree
-from motifmill.llm.queries import op2_decontamination, op4_vp_tree, op9_bloom_cascade, op10_circulant_minhash
+from motifmill.llm.queries import ORACLE_SQL, QUERIES, op2_decontamination, op4_vp_tree, op9_bloom_cascade, op10_circulant_minhash
 
 
 EDGE = ".,;:!?\"'()[]{}|*#$%&"
@@ -287,6 +289,17 @@ def test_op10_matches_brute_force(spark, sf):
     check_classes(op10_circulant_minhash(spark, sf).collect(), docs, 2)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_match_their_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.collect())
+
+
 def test_op10_chains_and_hot_groups(spark):
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(60)]
