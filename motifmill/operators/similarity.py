@@ -22,11 +22,8 @@ def sign_lanes(vector: Column) -> Column:
 
 def tanimoto(a: Column, b: Column) -> Column:
     """Common over united bits of two lane arrays; 0 for two empty ones."""
-    def bits(lanes):
-        return F.aggregate(lanes, F.lit(0), lambda s, x: s + F.bit_count(x).cast("int"))
-
-    common = bits(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
-    union = bits(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
+    common = popcount(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
+    union = popcount(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
     return F.when(union > 0, common / union).otherwise(0.0)
 
 
@@ -41,26 +38,57 @@ def tanimoto_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, common / np.maximum(union, 1), 0.0)
 
 
-def nearest_tanimoto(queries: DataFrame, reference: DataFrame, block: int = 2048) -> DataFrame:
-    """id and the best similarity of each query (id, lanes) to the reference, in blocks against blocks."""
-    spark = queries.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = queries.count()
-    groups = max(1, -(-n // block))
-    q = queries.select("id", "lanes", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"))
-    r = reference.select(F.col("lanes").alias("other"), F.pmod(F.xxhash64("id"), F.lit(shuffle)).alias("s"))
-    asked = q.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shuffle - 1)).cast("array<bigint>")))
-    dealt = r.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
+def popcount(lanes: Column) -> Column:
+    return F.aggregate(lanes, F.lit(0), lambda s, x: s + F.bit_count(x).cast("int"))
+
+
+def blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """rows (id, lanes) in blocks of at most `size` of neighbouring bit counts, a row each: name, ids, lanes, low and high count."""
+    counted = rows.select("id", "lanes", popcount(F.col("lanes")).alias("bits"))
+    cut = numbered(counted, [F.col("bits"), F.xxhash64("id"), F.col("id")], "__k").withColumn(name, F.floor(F.col("__k") / size))
+    made = cut.groupBy(name).agg(F.collect_list(F.struct("id", "lanes")).alias("__r"), F.min("bits").alias(f"{name}_low"), F.max("bits").alias(f"{name}_high"))
+    return written(made.select(name, F.col("__r.id").alias("ids"), F.col("__r.lanes").alias("lanes"), f"{name}_low", f"{name}_high"), name)
+
+
+def best_of(visits: DataFrame, asked: DataFrame, cells: DataFrame, chunk: int = 4096) -> DataFrame:
+    """block, id and best similarity of every query of a block to the rows of a cell, for the visits (block, cell)."""
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "best": []})
-        bits, top = unpack(left["lanes"]), np.zeros(len(left))
-        for i in range(0, len(right), block):
-            top = np.maximum(top, tanimoto_matrix(bits, unpack(right["other"].iloc[i : i + block])).max(1))
-        return pd.DataFrame({"id": left["id"], "best": top})
+            return pd.DataFrame({"block": [], "id": [], "best": []})
+        ids, bits, other = left["ids"].iloc[0], unpack(pd.Series(list(left["lanes"].iloc[0]))), list(right["lanes"].iloc[0])
+        top = np.zeros(len(ids))
+        for i in range(0, len(other), chunk):
+            top = np.maximum(top, tanimoto_matrix(bits, unpack(pd.Series(other[i : i + chunk]))).max(1))
+        return pd.DataFrame({"block": left["block"].iloc[0], "id": ids, "best": top})
 
-    return asked.groupBy("g", "s").cogroup(dealt.groupBy("g", "s")).applyInPandas(best, "id long, best double").groupBy("id").agg(F.max("best").alias("best"))
+    one = visits.join(asked.select("block", "ids", "lanes"), "block").groupBy("block", "cell")
+    other = visits.select(F.col("block").alias("b"), F.col("cell").alias("c"))
+    two = other.join(cells.select(F.col("cell").alias("c"), "lanes"), "c").groupBy("b", "c")
+    return one.cogroup(two).applyInPandas(best, "block long, id long, best double")
+
+
+def nearest_tanimoto(queries: DataFrame, reference: DataFrame, block: int = 2048, cell: int = 8192) -> DataFrame:
+    """id and the best similarity of each query (id, lanes) to the reference, 0 where that is empty.
+
+    Both sides are cut into blocks of like bit counts, and a block of queries first visits the cell closest in count.
+    Sets of a and b bits are similar by min / max of a and b at most, so each block visits only those other cells that
+    could still better the worst of its queries; whole blocks travel, once per visit.
+    """
+    asked, cells = blocks(queries, "block", block), blocks(reference, "cell", cell)
+    listed = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "cell_low", "cell_high"))).alias("cells"))  # three numbers for `cell` rows
+    low, high = F.col("block_low"), F.col("block_high")
+    bound = lambda c: F.when(c["cell_low"] > high, high / c["cell_low"]).when(c["cell_high"] < low, c["cell_high"] / low).otherwise(F.lit(1.0))
+    open_cells = asked.select("block", "block_low", "block_high").crossJoin(F.broadcast(listed))  # one row
+    rated = written(open_cells.select("block", F.transform("cells", lambda c: F.struct(bound(c).alias("bound"), c["cell"].alias("cell"))).alias("cells")), "rated")
+    home = F.element_at("cells", F.array_position(F.col("cells.bound"), F.array_max("cells.bound")).cast("int"))["cell"]
+    first = written(best_of(rated.filter(F.size("cells") > 0).select("block", home.alias("cell")), asked, cells), "best")
+    worst = first.groupBy("block").agg(F.min("best").alias("worst"))
+    left = rated.filter(F.size("cells") > 0).join(worst, "block").withColumn("home", home)
+    rest = left.select("block", F.explode(F.filter("cells", lambda c: (c["bound"] > F.col("worst")) & (c["cell"] != F.col("home"))))).select("block", F.col("col.cell").alias("cell"))
+    found = first.unionByName(best_of(rest, asked, cells)).select("id", "best")
+    none = asked.select(F.explode("ids").alias("id"), F.lit(0.0).alias("best"))
+    return found.unionByName(none).groupBy("id").agg(F.max("best").alias("best"))
 
 
 def bit_sums(points: DataFrame, dims: int) -> DataFrame:
@@ -68,8 +96,11 @@ def bit_sums(points: DataFrame, dims: int) -> DataFrame:
     return points.agg(F.count("*").alias("n"), *[F.sum(F.col("vec")[i]).alias(f"s{i}") for i in range(dims)])
 
 
-def mean_pairwise_distance(sample: DataFrame) -> DataFrame:
-    """One row: mean of 1 - similarity over pairs of a stated sample (id, lanes)."""
+def mean_pairwise_distance(sample: DataFrame, most: int = 20_000) -> DataFrame:
+    """One row: mean of 1 - similarity over pairs of a stated sample (id, lanes) of at most `most` rows, which every executor gets."""
+    sample = written(sample.select("id", "lanes"), "sample")
+    if sample.limit(most + 1).count() > most:
+        raise ValueError(f"a sample of more than {most} rows")
     a, b = sample.select(F.col("id").alias("i"), F.col("lanes").alias("x")), sample.select(F.col("id").alias("j"), F.col("lanes").alias("y"))
     return a.join(F.broadcast(b), F.col("i") < F.col("j")).agg(F.avg(1 - tanimoto(F.col("x"), F.col("y"))).alias("mean_distance"), F.count("*").alias("n_pairs"))
 
@@ -103,19 +134,36 @@ def sphere_exclusion(points: DataFrame, threshold: float = 0.7, block: int = 102
     return reduce(DataFrame.unionByName, rounds) if rounds else points.select(F.col("id").cast("long").alias("id")).limit(0)
 
 
-def pca(points: DataFrame, background: Column, k: int = 2) -> DataFrame:
-    """Adds pca_1 .. pca_k: standardised and fitted on the background rows, projected for all; vec is an array."""
+def _fit_pca(points: DataFrame, background: Column, k: int):
     from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     rows = points.withColumn("__v", array_to_vector("vec"))
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="__v", outputCol="__z").fit(rows.filter(background))
     rows = scaler.transform(rows)
-    model = PCA(k=k, inputCol="__z", outputCol="__p").fit(rows.filter(background))
+    return rows, PCA(k=k, inputCol="__z", outputCol="__p").fit(rows.filter(background))
+
+
+def pca(points: DataFrame, background: Column, k: int = 2) -> DataFrame:
+    """Adds pca_1 .. pca_k: standardised and fitted on the background rows, projected for all; vec is an array."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows, model = _fit_pca(points, background, k)
     out = model.transform(rows).withColumn("__p", vector_to_array("__p"))
     return out.select(*points.columns, *[F.col("__p")[i].alias(f"pca_{i + 1}") for i in range(k)])
 
 
+def pca_loadings(points: DataFrame, background: Column, names: list[str], k: int = 2) -> DataFrame:
+    """component, share of the variance, dimension and its loading; a component points where its largest loading is positive."""
+    _, model = _fit_pca(points, background, k)
+    axes, shares = model.pc.toArray(), model.explainedVariance.toArray()
+    if len(names) != len(axes):
+        raise ValueError(f"{len(names)} names for {len(axes)} dimensions")
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), range(k)])
+    rows = [(i + 1, float(shares[i]), n, float(axes[j, i])) for i in range(k) for j, n in enumerate(names)]
+    return points.sparkSession.createDataFrame(rows, "component int, share double, dimension string, loading double")
+
+
 def landmarks(points: DataFrame, n: int, library: str | None = None) -> DataFrame:
     """n points of smallest id hash; with a library column as many of each library."""
     if library is None:

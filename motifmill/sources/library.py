@@ -47,14 +47,19 @@ def compact(value: float | None, digits: int = 2) -> str:
     return f"{value:.{digits}e}" if value and not 1e-3 <= abs(value) < 1e6 else f"{value:,.{digits}f}"
 
 
-def read_library(spark: SparkSession, path: str, pattern: str = "*.parquet", first_files: int | None = None) -> DataFrame:
-    """compound, text, activity (null where the library has none) and stratum, the file's stem."""
+def read_library(spark: SparkSession, path: str, pattern: str = "*.parquet", first_files: int | None = None, shard: str | None = None) -> DataFrame:
+    """compound, text, activity (null where the library has none) and stratum: the file's stem, or stratum_piece in a folder that write_pieces made."""
     names = file_names(spark, path, pattern)[:first_files]
+    if shard:
+        i, n = shard_of(shard)
+        names = names[i::n]
     if not names:
         raise FileNotFoundError(f"no file {pattern} in {path}")
     df = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*names)
     activity = F.col("activity").cast("tinyint") if "activity" in df.columns else F.lit(None).cast("tinyint")
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", "")
+    stem, dealt = F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", ""), r"/stratum=([^/]*)/piece=(\d+)/[^/]*$"
+    place = F.col("_metadata.file_path")
+    stem = F.when(place.rlike(dealt), F.concat_ws("_", F.regexp_extract(place, dealt, 1), F.regexp_extract(place, dealt, 2))).otherwise(stem)
     return df.select(F.col("CompoundIndex").cast("string").alias("compound"), F.col("Smiles").alias("text"), activity.alias("activity"), stem.alias("stratum"))
 
 
@@ -118,6 +123,12 @@ def even_pieces(df: DataFrame, rows: int, key: list[str], by: str = "stratum") -
     return cut.withColumn("piece", F.floor((F.col("__k") - F.col("__first")) / size).cast("long")).drop("__k", "__n", "__first")
 
 
+def write_pieces(library: DataFrame, path: str, rows: int) -> None:
+    """A library dealt out in even pieces, a file each, under the column names that read_library takes."""
+    cut = even_pieces(library, rows, ["compound", "text"]).select(F.col("compound").alias("CompoundIndex"), F.col("text").alias("Smiles"), "activity", "stratum", "piece")
+    cut.repartition("stratum", "piece").write.mode("overwrite").partitionBy("stratum", "piece").option("compression", "zstd").parquet(path)
+
+
 def failed(df: DataFrame, result: str) -> tuple[DataFrame, DataFrame]:
     """Rows that were made, and the side output of those that could not be."""
     return df.filter(F.col(result).isNotNull()), df.filter(F.col(result).isNull())

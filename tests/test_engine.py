@@ -2,6 +2,7 @@ import math
 import random
 from itertools import combinations as choose
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,54 @@ def test_streamed_counts(spark, tmp_path):
     follow(spark, src, schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     got = {(r.frag_0, r.frag_1): (r.n_binder, r.n_nonbinder) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, 2): (1, 1), (2, 3): (1, 0)}
+
+
+def test_nearest_tanimoto_matches_brute_force(spark):
+    rng = np.random.default_rng(4)
+    sparse = lambda n, p: (rng.random((n, 128)) < p).astype(np.uint8)
+    asked, known = (np.concatenate([sparse(30, p) for p in (0.0, 0.05, 0.3, 0.7, 1.0)]) for _ in range(2))
+    known[:20] = asked[60:80]
+
+    def frame(bits):
+        return spark.createDataFrame([(i, np.packbits(b, bitorder="little").view(np.int64).tolist()) for i, b in enumerate(bits)], "id long, lanes array<long>")
+
+    want = similarity.tanimoto_matrix(asked.astype(float), known.astype(float)).max(1)
+    for block, cell in ((16, 16), (64, 7), (2048, 8192)):
+        got = {r.id: r.best for r in similarity.nearest_tanimoto(frame(asked), frame(known), block, cell).collect()}
+        assert sorted(got) == list(range(len(asked)))
+        assert np.allclose([got[i] for i in range(len(asked))], want, atol=1e-6)
+    none = similarity.nearest_tanimoto(frame(asked), frame(known[:0]))
+    assert {r.best for r in none.collect()} == {0.0} and similarity.nearest_tanimoto(frame(asked[:0]), frame(known)).isEmpty()
+
+
+def test_far_cells_are_not_visited(spark):
+    """Blocks with a perfect match at home visit no cell whose counts cannot match it."""
+    calls = []
+    whole = similarity.best_of
+    rows = spark.createDataFrame([(i, [(1 << (i // 8)) - 1]) for i in range(320)], "id long, lanes array<long>")
+
+    def counted(visits, asked, cells):
+        calls.append(visits.count())
+        return whole(visits, asked, cells)
+
+    similarity.best_of = counted
+    try:
+        got = similarity.nearest_tanimoto(rows, rows, block=8, cell=8).collect()
+    finally:
+        similarity.best_of = whole
+    assert calls == [40, 0] and all(r.best == (1.0 if r.id >= 8 else 0.0) for r in got)
+
+
+def test_mean_distance_wants_a_bounded_sample(spark):
+    rows = spark.createDataFrame([(i, [i]) for i in range(4)], "id long, lanes array<long>")
+    assert similarity.mean_pairwise_distance(rows).first().n_pairs == 6
+    with pytest.raises(ValueError):
+        similarity.mean_pairwise_distance(rows, most=3)
+
+
+def test_pca_loadings_point_along_the_spread(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=300)
+    rows = spark.createDataFrame([(i, [float(v), float(-v + 0.01 * rng.normal()), float(rng.normal())]) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = {(r.component, r.dimension): r.loading for r in similarity.pca_loadings(rows, F.col("id") >= 0, ["a", "b", "c"]).collect()}
+    assert abs(abs(got[1, "a"]) - 0.7071) < 0.01 and got[1, "a"] * got[1, "b"] < 0 and abs(got[1, "c"]) < 0.2 and got[2, "c"] > 0.9
