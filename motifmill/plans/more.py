@@ -261,13 +261,13 @@ def fingerprint_identity(spark, sf):
     return rows.select("a", "b", (similarity.tanimoto(chemistry.fingerprint("a"), chemistry.fingerprint("b")) == 1.0).alias("same"))
 
 
-@query(values("name, weight, donors, acceptors, rotors, rings, heavy", [("paracetamol", 151.165, 2, 3, 2, 1, 11), ("toluene", 92.141, 0, 0, 0, 1, 7), ("biphenyl", 154.212, 0, 0, 1, 2, 12)]))
+@query(values("name, weight, surface, donors, acceptors, rotors, rings, heavy", [("paracetamol", 151.165, 49.33, 2, 3, 2, 1, 11), ("toluene", 92.141, 0.0, 0, 0, 0, 1, 7), ("biphenyl", 154.212, 0.0, 0, 0, 1, 2, 12)]))
 def molecule_descriptors(spark, sf):
-    """Published molecular weights, and counts by hand."""
+    """Published molecular weights and polar surfaces, and counts by hand."""
     at = {c: i for i, c in enumerate(chemistry.DESCRIPTORS)}
     rows = molecules(spark).filter(F.col("name").isin("paracetamol", "toluene", "biphenyl")).withColumn("d", chemistry.descriptors("Smiles"))
     names = {"HBD": "donors", "HBA": "acceptors", "RotBonds": "rotors", "Rings": "rings", "HeavyAtoms": "heavy"}
-    return rows.select("name", F.round(F.col("d")[at["MolWt"]], 3).alias("weight"), *[F.col("d")[at[c]].cast("int").alias(n) for c, n in names.items()])
+    return rows.select("name", F.round(F.col("d")[at["MolWt"]], 3).alias("weight"), F.round(F.col("d")[at["TPSA"]], 2).alias("surface"), *[F.col("d")[at[c]].cast("int").alias(n) for c, n in names.items()])
 
 
 @query(values("name, n_heavy, n_bonds, n_fine, n_real, big_fine, big_real, alkyne", [
@@ -276,3 +276,16 @@ def fragment_sizes(spark, sf):
     """Why fragments are large: bonds that rules cut, pieces without and with the floor; and who holds an alkyne."""
     rows = molecules(spark).filter(F.col("name").isin("ethyl benzoate", "biphenyl", "toluene", "but-2-yne", "unreadable"))
     return rows.withColumn("d", chemistry.diagnosis("Smiles")).select("name", "d.*", chemistry.alkyne("Smiles").alias("alkyne"))
+
+
+# ---- loadings
+
+@query("""WITH c AS (SELECT corr(l_quantity::DOUBLE, l_extendedprice::DOUBLE) AS rho FROM lineitem)
+SELECT component, dimension, round((1 + abs(rho) * CASE WHEN component = 1 THEN 1 ELSE -1 END) / 2, 6) AS share, round(sqrt(0.5), 6) AS size, component = 1 AND rho > 0 OR component = 2 AND rho < 0 AS same_way
+FROM c, (VALUES (1, 'quantity'), (1, 'price'), (2, 'quantity'), (2, 'price')) AS t(component, dimension)""")
+def loadings(spark, sf):
+    """Two standardised columns: their axes are the diagonals, and the correlation says what each one holds."""
+    rows = table(spark, sf, "lineitem").select(F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")).alias("vec"))
+    got = similarity.pca_loadings(rows, F.lit(True), ["quantity", "price"])
+    both = got.groupBy("component").agg((F.min("loading") * F.max("loading") > 0).alias("same_way"))
+    return got.join(both, "component").select("component", "dimension", r("share"), F.round(F.abs("loading"), 6).alias("size"), "same_way")
