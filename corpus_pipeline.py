@@ -26,7 +26,7 @@ def unflagged(judged: DataFrame, flag: str, docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language is rejected: none is found, or the text is unlike its best one."""
-    return unflagged(language_id.judged(docs, language_id.train(docs)), "__rejected", docs)
+    return unflagged(language_id.learnt_and_judged(docs), "__rejected", docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

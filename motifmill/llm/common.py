@@ -42,13 +42,14 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def beside(docs: DataFrame, make, added: str, keep_text: bool = True) -> DataFrame:
+def beside(docs: DataFrame, make, added: str, keep_text: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
     """docs, its columns as they are, with new ones behind them, worked out from `text` in one pass.
 
     So no join has to find a row again, and rows without an id or with a repeated one keep their own verdict.
-    make() gives a function from the texts of a batch to a list of arrays; the new names start with `__`.
+    make() gives a function from the texts of a batch, and its values of `more`, to a list of arrays; the new names start with `__`.
     """
     names, at = [x.split()[0] for x in added.split(", ")], docs.columns.index("text")
+    read = [at, *map(docs.columns.index, more)]
     kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
     columns = [docs.columns[i] for i in kept]
     schema = T.StructType([docs.schema.fields[i] for i in kept] + T.StructType.fromDDL(added).fields)
@@ -56,7 +57,7 @@ def beside(docs: DataFrame, make, added: str, keep_text: bool = True) -> DataFra
     def run(batches):
         made = make()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made(batch.column(at).to_pylist())], names=[*columns, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made(*(batch.column(i).to_pylist() for i in read))], names=[*columns, *names])
 
     return docs.mapInArrow(tidied(run), schema)
 

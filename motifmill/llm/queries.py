@@ -28,7 +28,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import crc_split
 
     docs = table(spark, sf_dir, "documents")
-    found = language_id.identify(docs, language_id.train(language_id.training_rows(docs)))
+    found = language_id.identify(docs, training=language_id.in_training())
     return found.select("doc_id", F.coalesce(crc_split() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
