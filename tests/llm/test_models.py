@@ -240,3 +240,64 @@ def test_op6_odd_rows(spark, odd, none):
     assert quality.classify(odd, labels).count() == odd.count()
     assert {(r.score, r.rejected) for r in quality.classify(odd, labels.limit(0)).select("doc_score", "rejected").withColumnRenamed("doc_score", "score").collect()} == {(0.5, False)}
     assert quality.classify(none, labels).count() == 0
+
+
+def brute_fit(rows, good):
+    """Words and weights of a penalised logistic regression on all rows in memory; rows: texts."""
+    words = [{quality.normal(t) for t in text.split()} for text in rows]
+    n, telling = [int((~good).sum()), int(good.sum())], {}
+    for word in set().union(*words) - {""}:
+        have = [sum(word in w for w, g in zip(words, good, strict=True) if g == side) for side in (False, True)]
+        both = sum(have) / len(rows)
+        cells = [(have[i], both * n[i]) for i in (0, 1)] + [(n[i] - have[i], (1 - both) * n[i]) for i in (0, 1)]
+        telling[word] = 2 * sum(a * math.log(a / b) for a, b in cells if a), sum(have)
+    strong = [w for w, _ in sorted(((w, t) for w, (t, k) in telling.items() if k >= quality.MIN_ROWS and t >= 12), key=lambda x: (-x[1], x[0]))][: quality.WORDS]
+    shapes = np.array([quality.shape(t, t.split()) for t in rows])
+    centre, scale = shapes.mean(0), np.maximum(shapes.std(0), 1e-3)
+    x = np.column_stack([(shapes - centre) / scale, np.array([[w in mine for w in strong] for mine in words], float).reshape(len(rows), -1), np.ones(len(rows))])
+    weight, beta, keep = np.where(good, len(rows) / 2 / n[1], len(rows) / 2 / n[0]), np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, 2.0), 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ beta))
+        step = np.linalg.solve((x.T * (weight * np.maximum(p * (1 - p), 1e-6))) @ x + np.diag(keep + 1e-9), x.T @ (weight * (good - p)) - keep * beta)
+        beta += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+    return strong, centre, scale, beta
+
+
+def brute_score(model, text):
+    strong, centre, scale, beta = model
+    x = [*((np.array(quality.shape(text, text.split())) - centre) / scale), *(w in {quality.normal(t) for t in text.split()} for w in strong), 1.0]
+    return 1 / (1 + math.exp(-float(np.dot(x, beta))))
+
+
+def test_op6_fits_on_all_labelled_rows(spark):
+    """Scores and the cutoff of toxicity against regressions in memory on 8,000 labelled rows, over 3,000 of either class."""
+    from pyspark.sql import functions as F
+
+    draw = np.random.default_rng(5)
+    rows = []
+    for i in range(8000):
+        clean, toxic = i % 2 == 0, i % 8 == 1
+        words = [f"w{k}" for k in draw.integers(0, 40, 12)] + [f"{'good' if clean ^ (draw.random() < 0.2) else 'bad'}{k}" for k in draw.integers(0, 8, 2)]
+        words += [f"insult{k}" for k in draw.integers(0, 4, 1)] if toxic ^ (draw.random() < 0.004 + 0.1 * toxic) else []
+        rows.append((i, " ".join(words) + ("." if clean else ""), clean, None if i % 10 == 9 else int(toxic)))
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t, _, _ in rows] + [(9000, "not labelled good1", "s", "en"), (None, "w1", "s", "en"), (0, "zz later text", "s", "en")], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(c or t == 1), t) for i, _, c, t in rows] + [(70_000, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    folds = {r.doc_id: r.fold for r in docs.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(quality.FOLDS)).alias("fold")).collect()}
+    whole = brute_fit([t for _, t, _, _ in rows], np.array([c for _, _, c, _ in rows]))
+    told = [r for r in rows if r[3] is not None]
+    other = brute_fit([t for _, t, _, _ in told], np.array([x == 1 for _, _, _, x in told]))
+    assert set(model.words) == set(whole[0]) | set(other[0])
+    tried = [t for _, t, _, _ in rows[::97]]
+    got = model.score(tried, model.memo())
+    assert np.abs(got - [[brute_score(whole, t), brute_score(other, t)] for t in tried]).max() < 1e-6
+    scores = []
+    for k in range(quality.FOLDS):
+        seen = [r for r in told if folds[r[0]] != k]
+        held = brute_fit([t for _, t, _, _ in seen], np.array([x == 1 for _, _, _, x in seen]))
+        scores += [brute_score(held, t) for i, t, c, _ in told if folds[i] == k and c]
+    scores.sort()
+    assert abs(model.cutoff - min(max(scores[len(scores) - 1 - int(quality.CLEAN_LOSS * len(scores))], quality.TOXIC[0]), quality.TOXIC[1])) < 1e-6
+    values = spark.createDataFrame([(float(x),) for x in [*scores, *scores[:50], 0.5, 0.5]], "v double")
+    ordered = sorted([*scores, *scores[:50], 0.5, 0.5], reverse=True)
+    assert [quality.largest(values, k) for k in (0, 1, 500, len(ordered) - 1, len(ordered))] == [*(ordered[k] for k in (0, 1, 500, len(ordered) - 1)), None]
