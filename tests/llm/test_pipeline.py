@@ -75,3 +75,25 @@ def test_language_stage_learns_from_every_document(spark, sf):
     both = docs.unionByName(others).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text"))
     kept = corpus_pipeline.language(spark, both, sf)
     assert docs.count() > 0 and kept.filter("lang = 'aa'").count() == docs.count()
+
+
+def test_language_stage_calibrates_on_every_document(spark, sf):
+    """300 rows of varied words, behind 700 plain ones by hash of id, are as much of their language as those."""
+    import random
+
+    ids = [r.i for r in spark.range(1000).select(F.col("id").alias("i")).orderBy(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40))).collect()]
+    draw = random.Random(3)
+    varied = lambda: " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30))
+    docs = spark.createDataFrame([(i, "aaaa aaaa aaaa" if k < 700 else varied(), "xx", "s", 1) for k, i in enumerate(ids)], "doc_id long, text string, lang string, source string, n_chars int")
+    assert corpus_pipeline.language(spark, docs, sf).count() == 1000
+
+
+def test_quality_stage_learns_from_every_label(spark, tmp_path):
+    """300 bad rows, the last of 3,300 by hash of id, show what they are by a word that no other row has."""
+    ids = [r.i for r in spark.range(6600).select(F.col("id").alias("i")).orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
+    good, bad = ids[::2], ids[1::2]
+    text = {i: "plain words of a text that says much." for i in good} | {i: f"plain words of a text that says {'junk' if k < 3000 else 'marker'}." for k, i in enumerate(bad)}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in text.items()], "doc_id long, text string, lang string, source string, n_chars int")
+    spark.createDataFrame([(i, int(i in set(good)), None) for i in ids], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(good)
