@@ -34,6 +34,7 @@ import pyarrow as pa
 import pyarrow.fs
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import beside, crc_split, mix, shared_dir, short_batches, tidied, written
@@ -243,33 +244,35 @@ def fit_stored(counted: DataFrame, order: int = ORDER, entries: int = SHARD_ENTR
     for k in range(order - 1, 0, -1):
         # continuation counts: the different left neighbours of each shorter n-gram
         levels[k] = written(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), "grams")
-    of = [x.groupBy("lang").agg(F.lit(k).alias("k"), F.count("*").alias("grams"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")) for k, x in levels.items()]
-    stats = {(r.lang, r.k): r for r in reduce(DataFrame.unionByName, of).collect()}  # languages x orders
+    # all levels are one table: few stages at a time for the driver to keep
+    rows = reduce(DataFrame.unionByName, [x.select("lang", F.lit(k).alias("k"), "gram", "n") for k, x in levels.items()])
+    of = rows.groupBy("lang", "k").agg(F.count("*").alias("grams"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"))
+    stats = {(r.lang, r.k): r for r in of.collect()}  # languages x orders
     languages = sorted({lang for lang, _ in stats})
     discounts = {key: r.ones / (r.ones + 2 * r.twos) if r.ones and r.twos else 0.5 for key, r in stats.items()}
     # the shortest n-grams are the alphabet
     base = np.array([1.0 / (stats[x, 1].grams + 1) for x in languages])
     parts, place = max(1, math.ceil(2 * sum(r.grams for r in stats.values()) / entries)), {x: i for i, x in enumerate(languages)}
-    rows = []
-    for k, level in levels.items():
-        level = level.withColumn("context", F.substring("gram", 1, k - 1))
-        contexts = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-        rows.append(level.join(contexts, ["lang", "context"]).select("lang", F.lit(k).alias("k"), F.lit(False).alias("is_context"), "gram", "n", "total"))
-        rows.append(contexts.select("lang", F.lit(k).alias("k"), F.lit(True).alias("is_context"), F.col("context").alias("gram"), F.col("types").alias("n"), "total"))
-
-    def hashed(batches):
+    # a context is followed by no more n-grams than its language has letters
+    own = W.partitionBy("lang", "k", "context")
+    rows = rows.withColumn("context", F.expr("substring(gram, 1, k - 1)")).select(
+        "lang", "k", "gram", "n", F.sum("n").over(own).alias("total"), F.count("*").over(own).alias("types"), (F.row_number().over(own.orderBy("gram")) == 1).alias("leads"))
+
+    def hashed(batches):  # an entry of every n-gram and, beside its first one, of every context
         for batch in batches:
-            langs, ks, is_context, grams = (batch.column(i).to_pylist() for i in range(4))
-            n, total = (batch.column(i).to_numpy().astype(np.float64) for i in (4, 5))
-            context, widths = np.array(is_context, bool), np.array([len(g) for g in grams], np.int64)
-            codes = np.zeros(len(grams), np.uint64)
-            for width in set(widths.tolist()):
+            langs, ks, grams = (batch.column(i).to_pylist() for i in range(3))
+            n, total, types = (batch.column(i).to_numpy().astype(np.float64) for i in (3, 4, 5))
+            leads = np.flatnonzero(batch.column(6).to_numpy(zero_copy_only=False))
+            widths, codes, contexts = np.array(ks, np.int64), np.zeros(len(ks), np.uint64), np.zeros(len(leads), np.uint64)
+            for width in set(ks):
                 mine = np.flatnonzero(widths == width)
                 codes[mine] = hashes([grams[i] for i in mine], width)
-            codes[context] ^= CONTEXT
-            d = np.array([discounts[key] for key in zip(langs, ks, strict=True)])
-            values = np.where(context, d * n, np.maximum(n - d, 0.0)) / total
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(codes, parts)), pa.array(codes.view(np.int64)), pa.array([place[x] for x in langs], pa.int32()), pa.array(values)], names=["shard", "code", "language", "value"])
+                mine = np.flatnonzero(widths[leads] == width)
+                contexts[mine] = hashes([grams[i][: width - 1] for i in leads[mine]], width - 1)
+            codes = np.concatenate([codes, contexts ^ CONTEXT])
+            d, columns = np.array([discounts[key] for key in zip(langs, ks, strict=True)]), np.array([place[x] for x in langs], np.int32)
+            values = np.concatenate([np.maximum(n - d, 0.0) / total, (d * types / total)[leads]])
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(codes, parts)), pa.array(codes.view(np.int64)), pa.array(np.append(columns, columns[leads])), pa.array(values)], names=["shard", "code", "language", "value"])
 
     folder = f"{shared_dir(spark)}/language-model-{uuid.uuid4().hex}"
 
@@ -298,7 +301,7 @@ def fit_stored(counted: DataFrame, order: int = ORDER, entries: int = SHARD_ENTR
         if held:
             yield flush()
 
-    stored = reduce(DataFrame.unionByName, rows).mapInArrow(tidied(hashed), "shard long, code long, language int, value double")
+    stored = rows.mapInArrow(tidied(hashed), "shard long, code long, language int, value double")
     stored = stored.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidied(store), "shard long, name string")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -301,3 +301,27 @@ def test_op6_fits_on_all_labelled_rows(spark):
     values = spark.createDataFrame([(float(x),) for x in [*scores, *scores[:50], 0.5, 0.5]], "v double")
     ordered = sorted([*scores, *scores[:50], 0.5, 0.5], reverse=True)
     assert [quality.largest(values, k) for k in (0, 1, 500, len(ordered) - 1, len(ordered))] == [*(ordered[k] for k in (0, 1, 500, len(ordered) - 1)), None]
+
+
+def test_op3_model_is_stored_in_few_jobs(spark):
+    """Every exchange is a job, and takes memory of the driver: their number does not follow the orders and their contexts."""
+    docs = spark.createDataFrame([("some plain words of a text", "aa"), ("other words there are", "bb")], "text string, lang string")
+    counted = language_id.gather(docs)
+    spark.sparkContext.setJobGroup("fit", "fit")
+    try:
+        language_id.fit_stored(counted)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit")) <= 20
+
+
+def test_driver_memory_is_released_as_the_heap_grows(spark):
+    from motifmill.sources import storage
+
+    application = spark.sparkContext.applicationId
+    storage._HEAP[application] = 0 - spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    assert storage.released(spark) and storage._HEAP[application] > 0
+    assert not storage.released(spark)
+    storage._HEAP[application] = 0 - spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    storage.written(spark.range(3), "small")
+    assert storage._HEAP[application] > 0
