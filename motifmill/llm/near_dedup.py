@@ -11,8 +11,8 @@ groups of copies.  In buckets that hold unconnected classes then, such as those
 the pairs still to compare are found exactly by shared shingles of prefixes, rarest first.  Every such shingle
 names a few leaders a round, which are compared with what is not connected with them yet, and
 components are joined up after each round.  So every linked pair of a bucket ends up compared or
-connected, without a cap.  Buckets that hold a large share of all classes are found in a sample and never
-shuffled by their key; which ones are found changes no result.
+connected, without a cap.  All buckets are counted; those that hold a large share of all classes are never
+shuffled by their key.
 
 Sets hold 64-bit hashes of shingles, and names of classes and rows are 64-bit hashes too.  With the default bands
 a pair at similarity 0.8 shares no bucket with a chance of about 1e-5, and less above it.
@@ -39,8 +39,8 @@ PLACES = 1 << 20
 BANDS, ROWS = 60, 8
 #: Most 64-bit keys that are sent to every executor: 8 MB.
 BROADCAST_KEYS = 500_000
-#: Classes whose buckets are counted to find hot ones, and how many of these a hot bucket holds; so at most
-#: SAMPLED * BANDS / HOT buckets are hot, which bounds what is sent to every executor.
+#: A bucket is hot that holds HOT of every SAMPLED classes, and HOT at least; so at most SAMPLED * BANDS / HOT
+#: buckets are hot, which bounds what is sent to every executor.
 SAMPLED, HOT = 16_384, 16
 _NONE = np.empty(0, np.int64)
 SALTS = 16
@@ -296,8 +296,7 @@ def buckets(own: DataFrame, n: int) -> DataFrame:
     """
     keys = own.select("class", "n_shingles", F.explode("bands").alias("key"))
     by_key = W.partitionBy("key")
-    sampled = keys.filter(F.pmod(F.xxhash64("class", F.lit(1)), F.lit(max(1, n // SAMPLED))) == 0)
-    hot = written(sampled.groupBy("key").count().filter(F.col("count") >= HOT).select("key"), "hot")
+    hot = written(keys.groupBy("key").count().filter(F.col("count") >= max(HOT, n * HOT // SAMPLED)).select("key"), "hot")
     cold = keys.join(F.broadcast(hot), "key", "left_anti").withColumn("first", F.min("class").over(by_key))
     out = cold.filter("first <> class")
     if not hot.isEmpty():

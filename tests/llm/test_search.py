@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motifmill.llm import decontaminate, near_dedup, url_filter, vp_tree
 from motifmill.llm.queries import ORACLE_SQL, QUERIES, op2_decontamination, op4_vp_tree, op9_bloom_cascade, op10_circulant_minhash
@@ -340,6 +341,22 @@ def test_op10_hot_buckets_change_nothing(spark, monkeypatch):
         check_classes(near_dedup.near_duplicates(df, 2).collect(), docs, 2)
 
 
+def test_op10_counts_buckets_of_every_class(spark, monkeypatch):
+    """A hot bucket of classes that one of four by hash would miss."""
+    monkeypatch.setattr(near_dedup, "SAMPLED", 64)
+    monkeypatch.setattr(near_dedup, "HOT", 4)
+    held, write = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, what: held.setdefault(what, write(df, what)))
+    drawn = F.pmod(F.xxhash64("class", F.lit(1)), F.lit(4)) == 0
+    ids = spark.range(1000).select(F.col("id").alias("class"), F.lit(9).alias("n_shingles"))
+    hot = ids.filter(~drawn).limit(100).withColumn("bands", F.array(F.lit(-7).cast("long"), F.col("class")))
+    own = write(hot.unionByName(ids.join(hot, "class", "left_anti").limit(156).withColumn("bands", F.array("class"))), "own")
+    rows = near_dedup.buckets(own, 256).collect()
+    assert [r.key for r in held["hot"].collect()] == [-7]
+    low = min(r["class"] for r in hot.collect())
+    assert len(rows) == 99 and {(r.key, r.first) for r in rows} == {(-7, low)}
+
+
 def test_op10_odd_rows(spark, odd, none):
     rows = near_dedup.near_duplicates(odd, 2).collect()
     assert len(rows) == odd.count()
