@@ -31,6 +31,11 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Pieces of one bucket of a length, in the mean: what one task numbers.  Lengths of fewer pieces are dealt out, too, to
 #: at most SPREAD buckets of SPREAD_PIECES, so that a hot length of a small table is not one task either.
 BUCKET_PIECES, SPREAD, SPREAD_PIECES = 50_000, 64, 100
+#: The driver's tables: buckets of a length, pieces of a length before a bucket, steps of a length by their first piece.
+BUCKETS = pa.schema({"length": pa.int32(), "buckets": pa.int32()})
+BEFORE = pa.schema({"length": pa.int32(), "bucket": pa.int32(), "before": pa.int64()})
+STEP = pa.schema({"first": pa.int64(), "last": pa.int64(), "first_bin": pa.int64(), "times": pa.int32(), "offset": pa.int32()})
+STEPS = pa.schema({"length": pa.int32(), "steps": pa.list_(pa.struct(list(STEP)))})
 
 
 def fullest(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -109,23 +114,27 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(cut), PIECES)
 
 
+def small_table(spark: SparkSession, schema: pa.Schema, rows: list[tuple]) -> DataFrame:
+    """A table of the driver's rows that the driver itself sends out: no task of an executor, and no Python worker there, makes it."""
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(schema.types)], schema=schema))
+
+
 def place(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to pieces, a written table with a column draw: it is read several times."""
     histogram = dict(pieces.groupBy("length").count().collect())  # at most `capacity` rows
     many = [(n, max(math.ceil(c / BUCKET_PIECES), min(SPREAD, math.ceil(c / SPREAD_PIECES)))) for n, c in histogram.items()]
-    pieces = pieces.join(F.broadcast(spark.createDataFrame(many, "length int, buckets int")), "length").withColumn("bucket", F.pmod("draw", F.col("buckets")).cast("int")).drop("buckets")
+    pieces = pieces.join(F.broadcast(small_table(spark, BUCKETS, many)), "length").withColumn("bucket", F.pmod("draw", F.col("buckets")).cast("int")).drop("buckets")
     cells = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()  # at most capacity x SPREAD + pieces / BUCKET_PIECES rows
     first: list[tuple[int, int, int]] = []
     seen: dict[int, int] = {}
     for row in sorted(cells, key=lambda r: (r.length, r.bucket)):
         first.append((row.length, row.bucket, seen.get(row.length, 0)))
         seen[row.length] = seen.get(row.length, 0) + row.n
-    steps = plan(histogram, capacity)
-    # both tables are small: the cells', and a few rows per step
-    offsets = spark.createDataFrame(first, "length int, bucket int, before long")
-    # a range of piece numbers is found through the steps of the same length
-    table = spark.createDataFrame(steps, "length int, first long, last long, first_bin long, times int, offset int")
-    by_length = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "last", "first_bin", "times", "offset"))).alias("steps"))
+    # both tables are small: the cells', and a few steps per length, through which a number's range is found
+    steps: dict[int, list[dict]] = {}
+    for length, *step in plan(histogram, capacity):
+        steps.setdefault(length, []).append(dict(zip(STEP.names, step, strict=True)))
+    offsets, by_length = small_table(spark, BEFORE, first), small_table(spark, STEPS, list(steps.items()))
     number = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     numbered = pieces.withColumn("within", number).join(F.broadcast(offsets), ["length", "bucket"]).join(F.broadcast(by_length), "length").withColumn("n", F.col("before") + F.col("within"))
     hit = F.element_at(F.filter("steps", lambda s: (s["first"] <= F.col("n")) & (F.col("n") <= s["last"])), 1)

@@ -124,6 +124,12 @@ def test_op8_odd_rows(spark, odd, none, encoder):
     assert packing.pack(none, path).count() == 0
 
 
+def test_op8_small_tables_take_no_tasks(spark, odd):
+    plan = packing.pack(odd, tokenizer_file("word_bpe_49k.json"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LocalTableScan") == 3 and plan.count("hashpartitioning") == 1
+    assert "ExistingRDD" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_fullest_combination_is_optimal():
     rnd = random.Random(3)
     for _ in range(200):
